@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .decontaminate import op8_decontaminate
+from .packing import op1_packing
 from .pii import op7_pii
 from .secret_scan import op5_secret_scan
 from .simhash import op9_simhash
 
-QUERIES = {f.__name__: f for f in (op5_secret_scan, op7_pii, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_packing, op5_secret_scan, op7_pii, op8_decontaminate, op9_simhash)}
 ORACLE_SQL: dict[str, str] = {}
