@@ -48,7 +48,9 @@ class Words(dict):
         return ids
 
 
-words = functools.lru_cache(maxsize=2)(Words)
+@functools.lru_cache(maxsize=2)
+def words(path: str) -> Words:
+    return Words(path)
 
 
 def encoded(text: str | None, known: Words) -> bytes:
