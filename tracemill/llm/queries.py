@@ -5,9 +5,10 @@ from __future__ import annotations
 from .decontaminate import op8_decontaminate
 from .packing import op1_packing
 from .pii import op7_pii
+from .quality import op2_quality
 from .secret_scan import op5_secret_scan
 from .simhash import op9_simhash
 from .toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_packing, op5_secret_scan, op7_pii, op8_decontaminate, op9_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op5_secret_scan, op7_pii, op8_decontaminate, op9_simhash, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
