@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP3_SQL, op3_chat
 from .decontaminate import op8_decontaminate
 from .packing import op1_packing
 from .pii import op7_pii
@@ -10,5 +11,5 @@ from .secret_scan import op5_secret_scan
 from .simhash import op9_simhash
 from .toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op5_secret_scan, op7_pii, op8_decontaminate, op9_simhash, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_chat, op5_secret_scan, op7_pii, op8_decontaminate, op9_simhash, op10_toxicity)}
+ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL}
