@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from .common import map_rows, own_names, table, written
 
@@ -35,18 +36,39 @@ RUN = np.dtype([("length", "i8"), ("rank", "i8"), ("per", "i8"), ("sequence", "i
 
 
 class Words(dict):
-    """Token ids of pieces between spaces, as little-endian 32-bit bytes; emptied when it gets large."""
+    """Token ids of pieces between spaces, as little-endian 32-bit bytes.
 
-    def __init__(self, path: str, most: int = 300_000):
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+    Two generations bound the memory: when the young one is full it becomes the old one, from which words in use return.
+    A piece of Latin letters goes straight to the tokenizer's model, without a full stop or comma at its end, which the
+    splitter parts from it anyway; any other piece goes through the whole tokenizer.
+    """
+
+    def __init__(self, path: str, most: int = 500_000):
+        self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
+        self.model, level = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in range(256) if chr(c).isalpha() and chr(c) == chr(c).lower()]
+        same = [c for c in letters if c not in "ªº"]
+        self.mapped = {ord(c): level.pre_tokenize_str(c)[0][0] for c in same}
+        self.letters = frozenset(same)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.found(word)
         self[word] = ids
         return ids
 
+    def found(self, word: str) -> bytes:
+        body, mark = (word[:-1], word[-1]) if word[-1:] in (".", ",") else (word, "")
+        lower = body.lower()
+        if lower and self.letters.issuperset(lower) and len(lower) == len(body) and max(body) < "\u0100":
+            ids = array("I", [t.id for t in self.model.tokenize(lower if lower.isascii() else lower.translate(self.mapped))]).tobytes()
+            return ids + self[mark] if mark else ids
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
 
 @functools.lru_cache(maxsize=2)
 def words(path: str) -> Words:
