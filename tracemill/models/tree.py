@@ -77,15 +77,17 @@ def translate(net: Net, tree: Tree, a: int, b: int) -> None:
     elif kind in ("concurrent", "interleaved", "or"):
         starts, ends = [net.add_place() for _ in children], [net.add_place() for _ in children]
         if kind == "or":
-            # some children run: a token for each is either used or skipped, but not all of them are skipped
-            todo, some, none = [net.add_place() for _ in children], net.add_place(), net.add_place()
-            net.add(None, [a], [*todo, none])
-            for t, s, e in zip(todo, starts, ends, strict=True):
-                net.add(None, [t, none], [s, some])
-                net.add(None, [t, some], [s, some])
-                net.add(None, [t, none], [e, none])
-                net.add(None, [t, some], [e, some])
-            net.add(None, [*ends, some], [b])
+            # child by child a silent choice: run or skip; the last may not be skipped if all others were
+            at = {False: a}
+            for i, (s, e) in enumerate(zip(starts, ends, strict=True)):
+                last = i == len(children) - 1
+                after = {True: net.add_place()} | ({} if last else {False: net.add_place()})
+                for some, place in at.items():
+                    net.add(None, [place], [after[True], s])
+                    if some or not last:
+                        net.add(None, [place], [after[some], e])
+                at = after
+            net.add(None, [*ends, at[True]], [b])
         else:
             net.add(None, [a], starts)
             net.add(None, ends, [b])
