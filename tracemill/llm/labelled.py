@@ -51,7 +51,7 @@ def fitted(rows: DataFrame, fit: Callable[[Iterator[tuple[str | None, int]]], ob
         yield {"model": [pickle.dumps(fit((t, y) for _, t, y in order))]}
 
     own = rows.select(F.xxhash64(rows.columns[0]).alias("id"), "text", "y")
-    return pickle.loads(map_rows(own.coalesce(1), work, "model binary").first()[0])
+    return pickle.loads(map_rows(own.repartition(1), work, "model binary").first()[0])
 
 
 def platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> tuple[float, float]:

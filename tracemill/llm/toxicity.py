@@ -27,20 +27,38 @@ from .decontaminate import words_of
 from .labelled import class_sizes, fitted, held_out, logistic, platt, sample, training_labels, with_labels
 
 #: Most rows of each class that the model is fitted on.
-ROWS_PER_CLASS = {1: 3000, 0: 5000}
+ROWS_PER_CLASS = {1: 1500, 0: 2500}
 BUCKETS, WIDTH, WINDOW, SHORT, LONG = 1 << 16, 8, 2, 3, 6
 MOST_WORDS = 300_000
 
 
-def grams(word: bytes) -> list[int]:
-    """Buckets of a word's character n-grams, with marked ends, and of the word itself."""
-    w = b"<" + word[:64] + b">"
-    return [zlib.crc32(w) % BUCKETS, *(zlib.crc32(w[i : i + n]) % BUCKETS for n in range(SHORT, LONG + 1) for i in range(len(w) - n + 1))]
+def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word): the buckets of all words' character n-grams, with marked ends, and of the words themselves.
+
+    An n-gram's bytes are packed into one number, so all words are hashed together, length by length.
+    """
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    cut = [w[:64] for w in words]
+    data = np.frombuffer(b"".join([b"<" + w + b">" for w in cut]), np.uint8).astype(np.uint64)
+    size = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut)) + 2
+    word = np.repeat(np.arange(len(cut), dtype=np.int32), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(data))
+    packed, buckets, owners = data.copy(), [], []
+    for n in range(2, min(LONG, len(data)) + 1):
+        packed[: len(data) - n + 1] |= data[n - 1 :] << np.uint64(8 * (n - 1))
+        if n >= SHORT:
+            own = np.flatnonzero(left >= n)
+            buckets.append(((packed[own] + np.uint64(n << 50)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48))
+            owners.append(word[own])
+    buckets.append(np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words)) % np.uint64(BUCKETS))
+    owners.append(np.arange(len(words), dtype=np.int32))
+    return np.concatenate(buckets).astype(np.int32), np.concatenate(owners)
 
 
 def window_starts(n: int) -> np.ndarray:
-    """Windows overlap by half; the last one ends with the text."""
-    return np.unique(np.append(np.arange(0, max(1, n - WINDOW + 1), WINDOW // 2), max(0, n - WINDOW)))
+    """A window begins at every word that has enough after it; a short text is one window."""
+    return np.arange(max(1, n - WINDOW + 1))
 
 
 @dataclass
@@ -60,23 +78,35 @@ class Model:
     def gram_scores(self) -> np.ndarray:
         return self.embedding @ (self.softmax[:, 1] - self.softmax[:, 0])
 
-    def margin(self, words: list[bytes], scores: np.ndarray) -> float:
-        """Soft maximum of the windows' log odds; by linearity a window's are the mean of its words' own."""
-        bias = float(self.bias[1] - self.bias[0])
-        if not words:
-            return bias
-        known = self.words
-        if len(known) > MOST_WORDS:
-            known.clear()
-        for w in set(words) - known.keys():
-            known[w] = float(scores[grams(w)].mean())
-        total = np.concatenate([[0.0], np.cumsum(np.fromiter(map(known.__getitem__, words), dtype=np.float64, count=len(words)))])
-        at = window_starts(len(words))
-        end = np.minimum(at + WINDOW, len(words))
-        return float(np.logaddexp.reduce((total[end] - total[at]) / (end - at))) + bias
-
-
-def train(rows: Iterable[tuple[str, int]], weights: dict[int, float], epochs: tuple[int, int] = (40, 160), rate: float = 0.05, decay: float = 1e-5, seed: int = 11) -> Model:
+    def learn(self, words: set[bytes], scores: np.ndarray) -> None:
+        """Adds what the words say to those known; when they get too many, all but these are forgotten."""
+        if len(self.words) + len(words) > MOST_WORDS:
+            self.words.clear()
+        new = list(words - self.words.keys())
+        for at in range(0, len(new), 50_000):
+            part = new[at : at + 50_000]
+            bucket, word = grams(part)
+            mean = np.bincount(word, scores[bucket], minlength=len(part)) / np.bincount(word, minlength=len(part))
+            self.words.update(zip(part, mean.tolist(), strict=True))
+
+    def margins(self, texts: list[str | None], scores: np.ndarray) -> np.ndarray:
+        """Per text the soft maximum of its windows' log odds; by linearity a window's are the mean of its words' own."""
+        split, bias = [words_of(t) for t in texts], float(self.bias[1] - self.bias[0])
+        self.learn(set().union(*split), scores)
+        known, out = self.words, np.full(len(texts), bias)
+        for i, words in enumerate(split):
+            if words:
+                own = np.fromiter(map(known.__getitem__, words), dtype=np.float64, count=len(words))
+                total = np.concatenate([[0.0], np.cumsum(own)])
+                at = window_starts(len(words))
+                end = np.minimum(at + WINDOW, len(words))
+                m = (total[end] - total[at]) / (end - at)
+                top = m.max()
+                out[i] += top + np.log(np.exp(m - top).sum())
+        return out
+
+
+def train(rows: Iterable[tuple[str, int]], weights: dict[int, float], epochs: tuple[int, int] = (20, 80), rate: float = 0.05, decay: float = 1e-5, seed: int = 11) -> Model:
     """Full-batch Adam. A fifth of the rows is kept back for the calibration."""
     vocabulary: dict[bytes, int] = {}
     texts = [(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], dtype=np.int32), y) for t, y in rows]
@@ -90,11 +120,8 @@ def train(rows: Iterable[tuple[str, int]], weights: dict[int, float], epochs: tu
         model.slope, share = 0.0, float(y.mean()) if len(y) else 0.0
         model.shift = 40.0 if share == 1 else -40.0
         return model
-    each = [grams(w) for w in vocabulary]
-    size = np.array([len(g) for g in each], dtype=np.int64)
-    gram = np.fromiter((x for g in each for x in g), dtype=np.int32, count=int(size.sum()))
-    of_word = np.repeat(np.arange(len(size), dtype=np.int32), size)
-    del each
+    gram, of_word = grams(list(vocabulary))
+    size = np.bincount(of_word, minlength=len(vocabulary))
     starts = [window_starts(len(ids)) for ids, _ in texts]
     word = np.concatenate([ids[a : a + WINDOW] for (ids, _), s in zip(texts, starts, strict=True) for a in s] or [np.zeros(0, np.int32)])
     fill = np.array([min(WINDOW, len(ids)) if len(ids) else 0 for (ids, _), s in zip(texts, starts, strict=True) for _ in s], dtype=np.int64)
@@ -160,8 +187,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
         m = shared.value
         scores = m.gram_scores()
         for b in batches:
-            margins = np.array([m.margin(words_of(t), scores) for t in b[text_col]])
-            yield {c: b[c] for c in kept} | {score_col: logistic(m.slope * margins + m.shift).tolist()}
+            yield {c: b[c] for c in kept} | {score_col: logistic(m.slope * m.margins(b[text_col], scores) + m.shift).tolist()}
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
     return map_rows(own_names(docs, list(dict.fromkeys([*kept, text_col]))), work, f"{kinds}`{score_col}` double")
