@@ -118,6 +118,30 @@ def walk(model: Semantics, rng: random.Random, check_every: int = 1000) -> list[
     return trace
 
 
+def run_order(net, rng: random.Random, limit: int = 100_000) -> tuple[list[tuple[str, tuple[int, ...]]], bool]:
+    """One random run of a net as a partial order: (events with their direct predecessors, whether the run ended).
+
+    Each token knows the events it comes from; silent steps hand on what their inputs know.
+    """
+    tokens: list[list[frozenset]] = [[frozenset()] * n for n in net.marking]
+    events: list[tuple[str, tuple[int, ...]]] = []
+    above: list[frozenset] = []
+    for _ in range(limit):
+        on = net.enabled(tuple(map(len, tokens)))
+        if not on:
+            return events, True
+        t = net.transitions[rng.choices(on, [float(net.weight(i)) for i in on])[0]]
+        known = frozenset().union(*(tokens[p].pop(0) for p, n in t.inputs.items() for _ in range(n)))
+        if t.label is not None:
+            direct = known - frozenset().union(*(above[i] for i in known))
+            above.append(frozenset().union(known, *(above[i] for i in known)))
+            events.append((t.label, tuple(sorted(direct))))
+            known = frozenset({len(events) - 1})
+        for p, n in t.outputs.items():
+            tokens[p] += [known] * n
+    return events, False
+
+
 def levenshtein(a: tuple, b: tuple) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
