@@ -30,7 +30,7 @@ from .common import dropped, own_names, table, written
 GAINS = 8  # steps of the gain's binary logarithm that the grants tell apart
 
 
-def granted(asked: np.ndarray, load: np.ndarray, capacity: float, rounds: int = 30) -> np.ndarray:
+def granted(asked: np.ndarray, load: np.ndarray, capacity: float, rounds: int = 100) -> np.ndarray:
     """The share of each cell (origin, target, gain) that may move, such that no load exceeds the capacity.
 
     Starts from all and takes back, lowest gain first, what overfills a target; what stays at its origin then is counted
@@ -50,7 +50,16 @@ def granted(asked: np.ndarray, load: np.ndarray, capacity: float, rounds: int =
                 fit = min(1.0, left / want) if want else 1.0
                 share[:, t, g] *= fit
                 left -= want * fit
-    return share
+    safe: set[int] = set()
+    while True:  # where it has not settled, into what is too full goes only what fits if nothing leaves it
+        moved = asked * share
+        leave, enter = moved.sum(axis=(1, 2)), moved.sum(axis=(0, 2))
+        full = [t for t in np.flatnonzero(enter > np.maximum(0, capacity - (load - leave)) + 1e-9) if t not in safe]
+        if not full:
+            return share
+        for t in full:
+            share[:, t] *= min(1.0, max(0.0, capacity - load[t]) / enter[t])
+        safe.update(full)
 
 
 def propagated(links: DataFrame, shards: int, capacity: float, rounds: int = 12, slack: float = 0.02) -> DataFrame:
@@ -66,6 +75,7 @@ def propagated(links: DataFrame, shards: int, capacity: float, rounds: int = 12,
         limit = max(capacity * (1 - slack), load.max() if step == 0 and load.sum() > capacity * shards * (1 - slack) else 0)
         open_ = F.array(*[F.lit(bool(x < limit)) for x in load])
         votes = links.join(labels, "id").groupBy("grp").agg(*[F.sum((F.col("shard") == s).cast("long")).alias(f"v{s}") for s in range(shards)])
+        votes = written(votes, "votes")
         heard = links.join(votes, "grp").groupBy("id").agg(F.count("*").alias("own"), *[F.sum(f"v{s}").alias(f"v{s}") for s in range(shards)])
         state = labels.join(heard, "id").withColumn("v", F.array(*[f"v{s}" for s in range(shards)]))
         way = F.lit(1 if step % 2 == 0 else -1)
@@ -145,7 +155,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 12, id_col:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = own_names(docs, [id_col, text_col]).select(id_col, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("grp"), F.monotonically_increasing_id().alias("id"))
     rows = written(rows, "rows")
-    several = rows.groupBy("grp").count().where("count > 1").select("grp")
+    # written, so that both sides of the joins on a group are plain shuffles, of which a hot group's part can be split
+    several = written(rows.groupBy("grp").count().where("count > 1").select("grp"), "groups")
     links = written(rows.select("id", "grp").join(several, "grp", "left_semi").select("id", "grp"), "links")
     return shard_rows(rows, links, shards, rounds)
 
