@@ -27,3 +27,11 @@ def test_entry(spark):
 def test_plans_push_down_and_stay_in_the_jvm(spark, sf_dir):
     plan = catalogue.dfg_full(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "props" not in plan and "value" not in plan.split("ReadSchema")[1]
+
+
+def test_imports_need_no_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e, tracemill.plans.commands; print(len(e.queries()) > 80, len(e.oracle_sql()) > 60)"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=__file__.rsplit("/", 2)[0]).stdout.split() == ["True", "True"]

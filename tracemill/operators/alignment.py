@@ -32,7 +32,10 @@ def shared(df: DataFrame, model: Semantics):
 
 
 def per_row(df: DataFrame, column: str, name: str, kind: str, f: Callable) -> DataFrame:
-    """Adds a column by a kernel over one column; rows are dealt anew first, as kernels cost more than rows do."""
+    """Adds a column by a kernel over one column. Rows are first dealt to a fixed number of partitions, as kernels cost far
+    more than their rows weigh."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     schema = T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
     arrow = to_arrow_schema(schema)
 
@@ -41,7 +44,7 @@ def per_row(df: DataFrame, column: str, name: str, kind: str, f: Callable) -> Da
             made = pa.array([f(x) for x in b.column(column).to_pylist()], type=arrow.field(name).type)
             yield pa.RecordBatch.from_arrays([*b.columns, made], schema=arrow)
 
-    return df.repartition(column).mapInArrow(run, schema)
+    return df.repartition(parts, column).mapInArrow(run, schema)
 
 
 def align(slang: DataFrame, model: Semantics) -> DataFrame:

@@ -33,19 +33,21 @@ def normalised(a: str | Column, b: str | Column) -> Column:
     return F.when(longest == 0, 0.0).otherwise(F.levenshtein(a, b) / longest)
 
 
-def pairs(language: DataFrame, blocks: int = 8) -> DataFrame:
+def pairs(language: DataFrame, blocks: int = 16) -> DataFrame:
     """Each unordered pair of rows (with ``code``) once, as a_* and b_* columns: rows are dealt to blocks by hash, and each
     pair of blocks is one key of an ordinary join, so that work spreads over ``blocks * (blocks + 1) / 2`` keys."""
     return grid(language, language, blocks, same=True)
 
 
-def grid(left: DataFrame, right: DataFrame, blocks: int = 8, same: bool = False) -> DataFrame:
+def grid(left: DataFrame, right: DataFrame, blocks: int = 16, same: bool = False) -> DataFrame:
     """Every row of one side with every row of the other, or each unordered pair of one, joined on pairs of blocks."""
     own = F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     a = left.withColumn("_own", own).withColumn("_other", every).select(*[F.col(c).alias(f"a_{c}") for c in left.columns], F.struct(F.col("_own").alias("x"), F.col("_other").alias("y")).alias("_cell"))
     b = right.withColumn("_own", own).withColumn("_other", every).select(*[F.col(c).alias(f"b_{c}") for c in right.columns], F.struct(F.col("_other").alias("x"), F.col("_own").alias("y")).alias("_cell"))
+    # a fixed number of partitions: cells are few bytes and much work, and must not be gathered into few tasks
+    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), left.sparkSession.sparkContext.defaultParallelism)
     if same:
         a, b = a.where("_cell.x <= _cell.y"), b.where("_cell.x <= _cell.y")
-        return a.join(b, "_cell").where((F.col("_cell.x") < F.col("_cell.y")) | (F.col("a_code") < F.col("b_code"))).drop("_cell")
-    return a.join(b, "_cell").drop("_cell")
+        return a.repartition(parts, "_cell").join(b.repartition(parts, "_cell"), "_cell").where((F.col("_cell.x") < F.col("_cell.y")) | (F.col("a_code") < F.col("b_code"))).drop("_cell")
+    return a.repartition(parts, "_cell").join(b.repartition(parts, "_cell"), "_cell").drop("_cell")

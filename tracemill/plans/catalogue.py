@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analysis, association, conformance, dfg, discovery, distance, filters, log, probability, sampling
@@ -12,7 +12,11 @@ from ..operators import analysis, association, conformance, dfg, discovery, dist
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-TRACE = log.joined().alias("trace")
+
+
+def as_text() -> Column:
+    """The trace as one string, which any engine compares alike."""
+    return log.joined().alias("trace")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,17 +73,17 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 @query("SELECT trace, cnt, round(cnt / n, 6) AS p FROM slang")
 def variants(spark, d):
-    return session_slang(spark, d).select(TRACE, "cnt", F.round(log.p(), 6).alias("p"))
+    return session_slang(spark, d).select(as_text(), "cnt", F.round(log.p(), 6).alias("p"))
 
 
 @query("SELECT case_id, trace FROM log")
 def convert_log(spark, d):
-    return session_log(spark, d).select("case_id", TRACE)
+    return session_log(spark, d).select("case_id", as_text())
 
 
 @query("SELECT DISTINCT trace FROM log")
 def convert_lang(spark, d):
-    return log.lang(session_log(spark, d)).select(TRACE)
+    return log.lang(session_log(spark, d)).select(as_text())
 
 
 @query("SELECT DISTINCT event_type AS activity FROM events")
@@ -89,7 +93,7 @@ def activities(spark, d):
 
 @query("SELECT trace, cnt, round(cnt / n, 6) AS p FROM slang")
 def all_traces(spark, d):
-    return session_slang(spark, d).select(TRACE, "cnt", F.round(log.p(), 6).alias("p"))
+    return session_slang(spark, d).select(as_text(), "cnt", F.round(log.p(), 6).alias("p"))
 
 
 @query("SELECT count(*) > 0 AS any_traces FROM log")
@@ -103,16 +107,16 @@ def empty_traces(spark, d):
 
 
 for _name, _op in (("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">="), ("eq", "="), ("ne", "<>")):
-    query(f"SELECT case_id, trace FROM log WHERE NOT (len(acts) {_op} 3)", f"filter_length_{_name}")(lambda s, d, op=_op: filters.remove_length(session_log(s, d), op, 3).select("case_id", TRACE))
-query("SELECT case_id, trace FROM log WHERE len(acts) > 0", "filter_empty")(lambda s, d: filters.remove_empty(session_log(s, d)).select("case_id", TRACE))
+    query(f"SELECT case_id, trace FROM log WHERE NOT (len(acts) {_op} 3)", f"filter_length_{_name}")(lambda s, d, op=_op: filters.remove_length(session_log(s, d), op, 3).select("case_id", as_text()))
+query("SELECT case_id, trace FROM log WHERE len(acts) > 0", "filter_empty")(lambda s, d: filters.remove_empty(session_log(s, d)).select("case_id", as_text()))
 for _name, _sql in (("any", "list_contains(acts, 'click')"), ("all", "len(list_filter(acts, lambda x: x <> 'click')) = 0"), ("none", "NOT list_contains(acts, 'click')"), ("start", "coalesce(acts[1] = 'click', false)"), ("end", "coalesce(acts[-1] = 'click', false)")):
-    query(f"SELECT case_id, trace FROM log WHERE NOT ({_sql})", f"filter_activity_{_name}")(lambda s, d, k=_name: filters.remove_activity(session_log(s, d), k, "click").select("case_id", TRACE))
+    query(f"SELECT case_id, trace FROM log WHERE NOT ({_sql})", f"filter_activity_{_name}")(lambda s, d, k=_name: filters.remove_activity(session_log(s, d), k, "click").select("case_id", as_text()))
 
 
 @query("SELECT case_id, trace FROM log WHERE NOT (trace || ',') LIKE '%click,error,%' AND acts[-1] <> 'signup'")
 def filter_edges(spark, d):
     edges = spark.sql("SELECT * FROM VALUES ('click', 'error'), ('signup', CAST(NULL AS STRING)) AS t(src, dst)")
-    return filters.remove_edges(session_log(spark, d), edges).select("case_id", TRACE)
+    return filters.remove_edges(session_log(spark, d), edges).select("case_id", as_text())
 
 
 @query("SELECT src, dst, weight FROM dfg")
@@ -147,22 +151,22 @@ def completeness(spark, d):
 
 @query("SELECT trace, cnt FROM slang WHERE cnt / n >= 0.01")
 def minimum_probability(spark, d):
-    return analysis.minimum_probability(session_slang(spark, d), 0.01).select(TRACE, "cnt")
+    return analysis.minimum_probability(session_slang(spark, d), 0.01).select(as_text(), "cnt")
 
 
 @query("SELECT trace, cnt FROM slang ORDER BY cnt DESC, trace LIMIT 10")
 def most_likely_traces(spark, d):
-    return analysis.most_likely(session_slang(spark, d), 10).select(TRACE, "cnt")
+    return analysis.most_likely(session_slang(spark, d), 10).select(as_text(), "cnt")
 
 
 @query("SELECT trace, cnt FROM slang ORDER BY cnt DESC, trace LIMIT 1")
 def mode(spark, d):
-    return analysis.mode(session_slang(spark, d)).select(TRACE, "cnt")
+    return analysis.mode(session_slang(spark, d)).select(as_text(), "cnt")
 
 
 @query("SELECT trace, cnt FROM (SELECT trace, cnt, n, coalesce(sum(cnt) OVER (ORDER BY cnt DESC, trace ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM slang) WHERE before < 0.8 * n")
 def coverage(spark, d):
-    return analysis.coverage(session_slang(spark, d), 0.8).select(TRACE, "cnt")
+    return analysis.coverage(session_slang(spark, d), 0.8).select(as_text(), "cnt")
 
 
 @query("SELECT round(sum(-(cnt / n) * log2(cnt / n)), 6) AS entropy FROM slang")
@@ -180,17 +184,17 @@ _SUMS = "SELECT x.trace, sum(levenshtein(x.code, y.code) / greatest(length(x.cod
 
 @query(f"SELECT trace, round(d, 6) AS distance FROM ({_SUMS.format(w='y.cnt / y.n')})")
 def distance_sums(spark, d):
-    return analysis.distance_sums(session_slang(spark, d)).select(TRACE, F.round("distance", 6).alias("distance"))
+    return analysis.distance_sums(session_slang(spark, d)).select(as_text(), F.round("distance", 6).alias("distance"))
 
 
 @query(f"SELECT trace FROM ({_SUMS.format(w='y.cnt / y.n')}) ORDER BY round(d, 9), trace LIMIT 3")
 def medoid(spark, d):
-    return analysis.medoid(session_slang(spark, d), 3).select(TRACE)
+    return analysis.medoid(session_slang(spark, d), 3).select(as_text())
 
 
 @query(f"SELECT trace FROM ({_SUMS.format(w='1')}) ORDER BY round(d, 9), trace LIMIT 3")
 def medoid_non_stochastic(spark, d):
-    return analysis.medoid(session_slang(spark, d), 3, weighted=False).select(TRACE)
+    return analysis.medoid(session_slang(spark, d), 3, weighted=False).select(as_text())
 
 
 @query("SELECT x.trace AS a, y.trace AS b, levenshtein(x.code, y.code) AS distance, round(levenshtein(x.code, y.code) / greatest(length(x.code), length(y.code)), 6) AS normalised FROM (SELECT * FROM code WHERE cnt >= 5) x JOIN (SELECT * FROM code WHERE cnt >= 5) y ON x.code < y.code")
@@ -245,7 +249,7 @@ def _grams(table: str, k: int) -> str:
 
 @query(f"SELECT list_aggregate(trace, 'string_agg', ',') AS trace, cnt::BIGINT AS cnt FROM ({_grams('slang', 2)})")
 def markovian_kgrams(spark, d):
-    return conformance.kgrams(session_slang(spark, d), 2).select(TRACE, "cnt")
+    return conformance.kgrams(session_slang(spark, d), 2).select(as_text(), "cnt")
 
 
 _MARKOV = {"uemsc": "1 - sum(greatest(0, pa - pb))", "hsc": "1 - sqrt(sum(pow(sqrt(pb) - sqrt(pa), 2)) / 2)", "cssc": "1 - sum(pow(pa - pb, 2) / (pa + pb)) / 2"}
@@ -285,7 +289,7 @@ def flower_dfa(spark, d):
 
 @query("SELECT DISTINCT trace FROM slang")
 def trace_model(spark, d):
-    return discovery.trace_model(session_log(spark, d)).select(TRACE)
+    return discovery.trace_model(session_log(spark, d)).select(as_text())
 
 
 @query("SELECT activity, round(sum(cnt) / max(n), 6) AS weight FROM (SELECT unnest(acts) AS activity, cnt, n FROM slang) GROUP BY activity")
@@ -327,9 +331,9 @@ def association_numeric(spark, d):
 @query("SELECT user_id AS case_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS trace FROM events GROUP BY user_id HAVING ((user_id * 48271 + 11) % 2147483647) % 5 = 2")
 def sample_folds(spark, d):
     own = log.to_log(events(spark, d).select("user_id", "event_type", "ts", "event_id"), "user_id", "event_type", ["ts", "event_id"])
-    return sampling.folds_arithmetic(own, 5, 2, "case_id").select("case_id", TRACE)
+    return sampling.folds_arithmetic(own, 5, 2, "case_id").select("case_id", as_text())
 
 
 @query(None)
 def sample_traces(spark, d):
-    return sampling.sample_traces(session_slang(spark, d), 500, seed=1).select(TRACE, "cnt")
+    return sampling.sample_traces(session_slang(spark, d), 500, seed=1).select(as_text(), "cnt")

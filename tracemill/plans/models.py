@@ -13,7 +13,7 @@ from ..models.objects import automaton_of_language, graph_of_language, net_of_au
 from ..models.tree import net_of
 from ..operators import alignment, conformance, dfg, log, statistics
 from ..sources.formats import from_slang
-from .catalogue import TRACE, query, session_events, session_log, session_slang, two
+from .catalogue import as_text, query, session_events, session_log, session_slang, two
 
 SUBSET = ("click", "purchase", "view")
 
@@ -43,13 +43,13 @@ _FITS = "len(list_filter(acts, lambda x: x IN ('click', 'purchase', 'view')))"
 def alignments(spark, d):
     found = alignment.align(session_slang(spark, d), flower(*SUBSET))
     count = lambda k: F.size(F.filter("moves", lambda m: m["kind"] == k)).cast("long")
-    return found.select(TRACE, count("synchronous").alias("synchronous"), count("log").alias("moves_on_log"))
+    return found.select(as_text(), count("synchronous").alias("synchronous"), count("log").alias("moves_on_log"))
 
 
 @query(f"SELECT trace, len(acts) - {_FITS} = 0 AS fits FROM slang")
 def set_alignments(spark, d):
     found = alignment.align(log.lang(session_log(spark, d)), flower(*SUBSET))
-    return found.select(TRACE, (~F.exists("moves", lambda m: m["kind"].isin("log", "model"))).alias("fits"))
+    return found.select(as_text(), (~F.exists("moves", lambda m: m["kind"].isin("log", "model"))).alias("fits"))
 
 
 @query(f"SELECT round(sum(cnt / n * CASE WHEN len(acts) = 0 THEN 1 ELSE {_FITS} / len(acts) END), 6) AS fitness FROM slang")
@@ -74,7 +74,7 @@ def escaping_edges_precision(spark, d):
 @query("SELECT a.trace, round(coalesce(b.cnt / b.n, 0), 6) AS probability FROM a LEFT JOIN b USING (trace)")
 def probability_of_model(spark, d):
     found = alignment.probabilities(session_slang(spark, d, 0), automaton_of_language(language(spark, d, 1)))
-    return found.select(TRACE, F.round("pb", 6).alias("probability"))
+    return found.select(as_text(), F.round("pb", 6).alias("probability"))
 
 
 @query("SELECT round(1 - sum(greatest(0, pa - pb)), 6) AS value FROM ab")
@@ -198,18 +198,18 @@ def association_categorical(spark, d):
 
 @query(None)
 def cluster(spark, d):
-    return statistics.cluster(small(spark, d, None), 3).select(TRACE)
+    return statistics.cluster(small(spark, d, None), 3).select(as_text())
 
 
 @query(None)
 def sample_model(spark, d):
-    return statistics.sample_model(spark, automaton_of_language(language(spark, d)), 500).select(TRACE, "cnt")
+    return statistics.sample_model(spark, automaton_of_language(language(spark, d)), 500).select(as_text(), "cnt")
 
 
 @query(None)
 def explain_trace(spark, d):
     found = alignment.explain(small(spark, d, None), automaton_of_language(from_slang(log.with_total(small(spark, d, None).drop("n")))))
-    return found.select(TRACE, F.size("moves").alias("moves"))
+    return found.select(as_text(), F.size("moves").alias("moves"))
 
 
 def _case_events(spark, d):
