@@ -32,6 +32,8 @@ from tokenizers import Tokenizer, pre_tokenizers
 from .common import map_rows, own_names, table, written
 
 CAPACITY, END_ID = 4096, 1
+#: What may be told of a piece, from its ids as little-endian 32-bit bytes: kind of column and value.
+PAYLOAD = {"ids": ("array<int>", lambda own: np.frombuffer(own, "<i4")), "ids_crc32": ("bigint", zlib.crc32)}
 RUN = np.dtype([("length", "i8"), ("rank", "i8"), ("per", "i8"), ("sequence", "i8"), ("offset", "i8")])
 
 
@@ -80,31 +82,32 @@ def encoded(text: str | None, known: Words) -> bytes:
     return b"".join(map(known.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 
-def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, payload: str = "ids", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, piece, start, length, payload, _part, _rank): the pieces, and each one's rank in its partition and length.
+def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, payload: tuple[str, ...] = ("ids",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, piece, start, length, *payload, _part, _rank): the pieces, and each one's rank in its partition and length.
 
-    The payload is ``ids`` (array of the piece's token ids) or ``ids_crc32`` (CRC-32 of them, 32-bit little-endian).
+    The payload has any of ``ids`` (array of the piece's token ids) and ``ids_crc32`` (CRC-32 of them, 32-bit
+    little-endian).
     """
-    kind = {"ids": "array<int>", "ids_crc32": "bigint"}[payload]
     end = int(end_id).to_bytes(4, "little")
 
     def work(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         known, part, seen = words(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for b in batches:
-            out: dict[str, list] = {k: [] for k in (id_col, "piece", "start", "length", payload, "_part", "_rank")}
+            out: dict[str, list] = {k: [] for k in (id_col, "piece", "start", "length", *payload, "_part", "_rank")}
             for doc, text in zip(b[id_col], b[text_col], strict=True):
                 data = encoded(text, known) + end
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     own = data[at : at + 4 * capacity]
                     n = len(own) // 4
-                    value = zlib.crc32(own) if payload == "ids_crc32" else np.frombuffer(own, "<i4")
-                    for k, v in zip(out, (doc, piece, at // 4, n, value, part, int(seen[n])), strict=True):
+                    values = [PAYLOAD[p][1](own) for p in payload]
+                    for k, v in zip(out, (doc, piece, at // 4, n, *values, part, int(seen[n])), strict=True):
                         out[k].append(v)
                     seen[n] += 1
             yield out
 
     own = docs.schema[id_col].dataType.simpleString()
-    return map_rows(own_names(docs, [id_col, text_col]), work, f"`{id_col}` {own}, piece int, start long, length long, {payload} {kind}, _part int, _rank long")
+    kinds = "".join(f"{p} {PAYLOAD[p][0]}, " for p in payload)
+    return map_rows(own_names(docs, [id_col, text_col]), work, f"`{id_col}` {own}, piece int, start long, length long, {kinds}_part int, _rank long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, max_docs: int | None = None, max_cost: float | None = None, weights: tuple[float, float, float] = (1.0, 0.1, 0.1), score: str = "norm") -> np.ndarray:
@@ -176,8 +179,8 @@ def placed(pieces: DataFrame, capacity: int = CAPACITY, **options) -> DataFrame:
     return ranked.mapInArrow(work, f"{schema}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, payload: str = "ids", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(id, piece, start, length, payload, sequence_id, offset) per piece; options go to :func:`plan`."""
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, payload: tuple[str, ...] = ("ids",), id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, piece, start, length, *payload, sequence_id, offset) per piece; options go to :func:`plan`."""
     return placed(written(tokenized(docs, tokenizer, capacity, end_id, payload, id_col, text_col), "pieces"), capacity, **options)
 
 
@@ -188,4 +191,4 @@ def default_tokenizer() -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), default_tokenizer(), payload="ids_crc32")
+    return pack(table(spark, sf_dir, "documents"), default_tokenizer(), payload=("ids_crc32",))
