@@ -211,3 +211,21 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFram
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(own_names(table(spark, sf_dir, "documents"), ["doc_id", "text"]), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.col("_n_words").alias("n_words"), hits().alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "_items"), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP8_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(len(w), {WINDOW}) AS n, list_aggregate(w[k:k + {WINDOW} - 1], 'string_agg', ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {WINDOW} + 1, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+places AS (SELECT r, k, n, list_aggregate(w[k:k + n - 1], 'string_agg', ' ') AS g
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+hits AS (SELECT p.r, p.k, p.n, x.item_id FROM places p JOIN windows x USING (n, g)),
+hit AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS j FROM (SELECT DISTINCT r, k, n FROM hits)) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""
