@@ -35,3 +35,20 @@ def test_imports_need_no_session():
 
     code = "import __spark_entry__ as e, tracemill.plans.commands; print(len(e.queries()) > 80, len(e.oracle_sql()) > 60)"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=__file__.rsplit("/", 2)[0]).stdout.split() == ["True", "True"]
+
+
+def test_workers_can_import_from_any_folder(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import sys; sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__ as e
+print("rows", e.queries()["probability_of_model"](spark, sys.argv[2]).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code, __file__.rsplit("/", 2)[0], "/root/testdata/sf0.001"], capture_output=True, text=True, cwd=tmp_path, env=env)
+    assert "rows " in done.stdout, done.stderr[-2000:]
