@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .distance import encoded, normalised, pairs
+from .sampling import picked
 
 
 def numeric(log: DataFrame, attribute: str) -> DataFrame:
@@ -38,15 +39,11 @@ def all_numeric(log: DataFrame, attributes: list[str]) -> DataFrame:
 def categorical(log: DataFrame, attribute: str, samples: int = 500, size: int | None = None, seed: int = 0) -> DataFrame:
     """1 - correlation, over samples drawn with replacement, of the mean distance of pairs with different values with that
     of all pairs. Draws of a sample are summed per (variant, value) before they meet."""
-    from pyspark.sql import Window as W
-
     rows = log.where(F.col(attribute).isNotNull()).groupBy("trace", F.col(attribute).cast("string").alias("value")).agg(F.count("*").alias("cnt"))
     (coded,) = encoded(rows)
-    order = W.partitionBy(F.lit(0)).orderBy("code", "value")
-    kinds = coded.select("code", "value", "cnt", F.sum("cnt").over(order).alias("upto")).select("code", "value", (F.col("upto") - F.col("cnt")).alias("above"), "upto").cache()
-    n = kinds.agg(F.max("upto")).first()[0] or 0
-    draws = log.sparkSession.range(samples * (size or n)).select((F.col("id") % samples).alias("sample"), F.floor(F.rand(seed) * n).alias("at"))
-    drawn = draws.join(F.broadcast(kinds), (F.col("at") >= F.col("above")) & (F.col("at") < F.col("upto"))).groupBy("sample", "code", "value").agg(F.count("*").alias("w")).cache()
+    n = size or rows.agg(F.sum("cnt")).first()[0] or 0
+    draws = log.sparkSession.range(samples * n).select((F.col("id") % samples).alias("sample"), F.rand(seed).alias("u"))
+    drawn = picked(coded.select("code", "value", "cnt"), draws, F.struct("code", "value")).groupBy("sample", "code", "value").agg(F.count("*").alias("w")).cache()
     a, b = (drawn.select("sample", *[F.col(c).alias(f"{s}_{c}") for c in ("code", "value", "w")]) for s in "ab")
     mass = F.col("a_w") * F.col("b_w")
     d = mass * normalised("a_code", "b_code")

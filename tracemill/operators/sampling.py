@@ -2,27 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .log import joined
 
 
-def sample_traces(slang: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """k traces with replacement, each as likely as its probability: (trace, cnt, n).
+def ranked(rows: DataFrame, group: str, key: Column, buckets: int = 1024) -> DataFrame:
+    """Adds ``rank``, from 0 within each group, in the order of hash buckets and of the key within one: no group is ever
+    sorted in one task. The offsets are a running sum over the buckets of a group."""
+    own = rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    sizes = own.groupBy(group, "_b").agg(F.count("*").alias("_k"))
+    base = sizes.select(group, "_b", (F.sum("_k").over(W.partitionBy(group).orderBy("_b")) - F.col("_k")).alias("_base"))
+    at = F.row_number().over(W.partitionBy(group, "_b").orderBy(key)) - 1
+    return own.withColumn("_at", at).join(base, [group, "_b"]).withColumn("rank", F.col("_base") + F.col("_at")).drop("_b", "_at", "_base")
+
+
+def picked(rows: DataFrame, draws: DataFrame, key: Column) -> DataFrame:
+    """For each of ``draws(..., u)``, u from 0 below 1, one of ``rows(..., cnt)``, as often as its share of all counts.
 
-    Draws meet the running sum of counts through a range join. The sum runs over the distinct counts, as in
-    analysis.coverage: about the square root of twice the number of cases at most, so that side may be broadcast.
+    Draws meet the running sum of counts through a range join. The sum runs over the distinct counts: about the square root
+    of twice their total at most, so that side may be broadcast.
     """
-    spark = slang.sparkSession
-    per = slang.groupBy("cnt", "n").agg(F.count("*").alias("k"))
-    w = W.partitionBy("n").orderBy("cnt").rowsBetween(W.unboundedPreceding, -1)
-    levels = per.withColumn("base", F.coalesce(F.sum(F.col("cnt") * F.col("k")).over(w), F.lit(0))).select("cnt", "k", "base")
-    draws = spark.range(k).select("id", F.rand(seed).alias("u")).join(F.broadcast(slang.agg(F.max("n").alias("n")))).select("id", F.floor(F.col("u") * F.col("n")).alias("at"))
-    level = draws.join(F.broadcast(levels), F.expr("at >= base and at < base + cnt * k")).select("id", "cnt", F.expr("(at - base) div cnt").alias("rank"))
-    ranked = slang.withColumn("rank", F.row_number().over(W.partitionBy("cnt").orderBy(joined())) - 1).select("trace", "cnt", "rank")
-    return level.join(ranked, ["cnt", "rank"]).groupBy("trace").agg(F.count("*").alias("cnt")).withColumn("n", F.lit(k).cast("long"))
+    per = rows.groupBy("cnt").agg(F.count("*").alias("_k"))
+    total = per.agg(F.sum(F.col("cnt") * F.col("_k")).alias("_n"))
+    w = W.partitionBy("_n").orderBy("cnt").rowsBetween(W.unboundedPreceding, -1)
+    levels = per.join(F.broadcast(total)).withColumn("_from", F.coalesce(F.sum(F.col("cnt") * F.col("_k")).over(w), F.lit(0))).drop("_n")
+    at = draws.join(F.broadcast(total)).withColumn("_at", F.floor(F.col("u") * F.col("_n"))).drop("u", "_n")
+    level = at.join(F.broadcast(levels), F.expr("_at >= _from and _at < _from + cnt * _k")).withColumn("rank", F.expr("(_at - _from) div cnt")).drop("_at", "_from", "_k")
+    return level.join(ranked(rows, "cnt", key), ["cnt", "rank"]).drop("rank")
+
+
+def sample_traces(slang: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """k traces with replacement, each as likely as its probability: (trace, cnt, n)."""
+    draws = slang.sparkSession.range(k).select(F.rand(seed).alias("u"))
+    found = picked(slang.select("trace", "cnt"), draws, joined())
+    return found.groupBy("trace").agg(F.count("*").alias("cnt")).withColumn("n", F.lit(k).cast("long"))
 
 
 def folds(log: DataFrame, n: int, fold: int, seed: int = 0, key: str = "case_id") -> DataFrame:
