@@ -29,7 +29,9 @@ from .labelled import class_sizes, fitted, held_out, logistic, platt, sample, tr
 #: Most rows of each class that the model is fitted on.
 ROWS_PER_CLASS = {1: 1500, 0: 2500}
 BUCKETS, WIDTH, WINDOW, SHORT, LONG = 1 << 16, 8, 2, 3, 6
-MOST_WORDS = 300_000
+MOST_WORDS = 200_000
+#: Words hashed at once, which bounds the memory of a step.
+PART = 30_000
 
 
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +85,8 @@ class Model:
         if len(self.words) + len(words) > MOST_WORDS:
             self.words.clear()
         new = list(words - self.words.keys())
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
+        for at in range(0, len(new), PART):
+            part = new[at : at + PART]
             bucket, word = grams(part)
             mean = np.bincount(word, scores[bucket], minlength=len(part)) / np.bincount(word, minlength=len(part))
             self.words.update(zip(part, mean.tolist(), strict=True))
@@ -120,8 +122,9 @@ def train(rows: Iterable[tuple[str, int]], weights: dict[int, float], epochs: tu
         model.slope, share = 0.0, float(y.mean()) if len(y) else 0.0
         model.shift = 40.0 if share == 1 else -40.0
         return model
-    gram, of_word = grams(list(vocabulary))
-    size = np.bincount(of_word, minlength=len(vocabulary))
+    every = list(vocabulary)
+    hashed = [(at, *grams(every[at : at + PART])) for at in range(0, len(every), PART)]
+    size = np.concatenate([np.bincount(w, minlength=len(every[at : at + PART])) for at, _, w in hashed] or [np.zeros(0, np.int64)])
     starts = [window_starts(len(ids)) for ids, _ in texts]
     word = np.concatenate([ids[a : a + WINDOW] for (ids, _), s in zip(texts, starts, strict=True) for a in s] or [np.zeros(0, np.int32)])
     fill = np.array([min(WINDOW, len(ids)) if len(ids) else 0 for (ids, _), s in zip(texts, starts, strict=True) for _ in s], dtype=np.int64)
@@ -135,7 +138,8 @@ def train(rows: Iterable[tuple[str, int]], weights: dict[int, float], epochs: tu
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (embedding, softmax, model.bias)]
 
     def window_margins() -> np.ndarray:
-        scores = np.bincount(of_word, model.gram_scores()[gram], minlength=len(size)) / size
+        scores = model.gram_scores()
+        scores = np.concatenate([np.bincount(w, scores[g], minlength=len(every[at : at + PART])) for at, g, w in hashed] or [size]) / size
         return np.bincount(of_window, scores[word], minlength=len(fill)) / per + model.bias[1] - model.bias[0]
 
     def pooled(m: np.ndarray) -> np.ndarray:
@@ -152,7 +156,7 @@ def train(rows: Iterable[tuple[str, int]], weights: dict[int, float], epochs: tu
         pull = balance * (logistic(margin) - y)  # of the loss by the margin
         by_window = pull[doc] * share
         by_word = np.bincount(word, (by_window / per)[of_window], minlength=len(size)) / size
-        by_gram = np.bincount(gram, by_word[of_word], minlength=BUCKETS)
+        by_gram = sum((np.bincount(g, by_word[at + w], minlength=BUCKETS) for at, g, w in hashed), np.zeros(BUCKETS))
         difference = softmax[:, 1] - softmax[:, 0]
         turn = embedding.T @ by_gram
         grads = [np.outer(by_gram, difference) + decay * embedding, np.stack([-turn, turn], axis=1), np.array([-pull.sum(), pull.sum()])]
