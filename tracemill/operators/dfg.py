@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .filters import remove_edges
-
 
 def steps(log: DataFrame, *keep: str) -> DataFrame:
     """Every step of every trace, from its start to its end; an empty trace is one step from nothing to nothing."""
@@ -33,24 +31,43 @@ def dfg_of_events(events: DataFrame, case: str, activity: str, order: list[str])
     return rows.select(F.explode(edges).alias("e")).groupBy("e.src", "e.dst").agg(F.count("*").alias("weight"))
 
 
-def dfg_with_fitness(log: DataFrame, fitness: float = 1.0, checkpoint_every: int = 5) -> DataFrame:
+#: Most edges of a graph that is filtered: it goes to the driver once a round.
+MOST_EDGES = 500_000
+
+
+def dfg_with_fitness(log: DataFrame, fitness: float = 1.0) -> DataFrame:
     """Drops, again and again, the traces with an edge of least weight, while at least ``fitness`` of them would stay.
 
-    Lineage is cut by a checkpoint every few rounds, in the folder that the session names.
+    Works on variants, cached with the keys of their edges. A round is one job: a filter by the edges removed so far and a
+    sum per edge, which is small and goes to the driver; so the plan grows by a list of keys only.
     """
-    total, rounds = log.count(), 0
-    now = log.select(F.monotonically_increasing_id().alias("case_id"), "trace").cache()
+    if fitness >= 1:
+        return dfg(log)
+    key = lambda c: F.coalesce(F.hex(c), F.lit("-"))
+    edge = lambda i: F.concat(key(F.when(i > 0, F.get("trace", i - 1))), F.lit(">"), key(F.get("trace", i)))
+    variants = log.groupBy("trace").agg(F.count("*").alias("cnt"))
+    base = variants.select("cnt", F.transform(F.sequence(F.lit(0), F.size("trace")), edge).alias("edges")).cache()
+    removed: list[str] = []
+    total, kept = None, {}
     while True:
-        edges = dfg(now).where("src is not null or dst is not null")
-        least = edges.agg(F.min("weight")).first()[0]
-        if least is None or fitness >= 1:
-            return dfg(now)
-        after = remove_edges(now, edges.where(F.col("weight") == least).select("src", "dst"))
-        rounds += 1
-        after = after.checkpoint() if rounds % checkpoint_every == 0 and log.sparkSession.sparkContext.getCheckpointDir() else after.cache()
-        if after.count() < fitness * total:
-            return dfg(now)
-        now = after
+        now = base.where(~F.arrays_overlap("edges", F.array(*map(F.lit, removed)))) if removed else base
+        found = now.select(F.explode("edges").alias("e"), "cnt").groupBy("e").agg(F.sum("cnt").alias("w")).limit(MOST_EDGES + 1).collect()
+        if len(found) > MOST_EDGES:
+            raise ValueError(f"more than {MOST_EDGES} edges")
+        weights = {r.e: r.w for r in found}
+        traces = sum(w for e, w in weights.items() if e.startswith("->"))
+        total = traces if total is None else total
+        if traces < fitness * total:
+            break
+        kept = weights
+        inner = {e: w for e, w in weights.items() if e != "->-"}
+        if not inner:
+            break
+        removed += [e for e, w in inner.items() if w == min(inner.values())]
+    base.unpersist()
+    name = lambda h: None if h == "-" else bytes.fromhex(h).decode()
+    rows = [(name(a), name(b), w) for e, w in kept.items() for a, _, b in [e.partition(">")]]
+    return log.sparkSession.createDataFrame(rows, "src string, dst string, weight long")
 
 
 def both(a: DataFrame, b: DataFrame) -> DataFrame:
