@@ -156,7 +156,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, distance: int = 3,
     each = written(marks.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
     roots = written(components(links(each, distance)), "roots")
     named = each.join(roots, each.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    best = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that the joins' sides are plain shuffles, of which a hot component's or fingerprint's part can be split
+    best = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     return marks.join(named.join(best, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "th", "component_id")
 
 
