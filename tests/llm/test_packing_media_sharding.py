@@ -48,7 +48,7 @@ def test_tokens_equal_the_tokenizers():
 
 
 def test_generations_bound_the_memory():
-    known = packing.Words(packing.default_tokenizer(), most=10)
+    known = packing.Words(packing.default_tokenizer(), 10)
     for i in range(100):
         assert known["the"] and known[f"w{i}"]
     assert len(known) <= 11 and len(known.old) <= 11

@@ -32,6 +32,8 @@ from tokenizers import Tokenizer, pre_tokenizers
 from .common import map_rows, own_names, table, written
 
 CAPACITY, END_ID = 4096, 1
+#: Pieces whose ids a worker remembers, in each of two generations: more memory, less encoding.
+KNOWN_WORDS = 500_000
 #: What may be told of a piece, from its ids as little-endian 32-bit bytes: kind of column and value.
 PAYLOAD = {"ids": ("array<int>", lambda own: np.frombuffer(own, "<i4")), "ids_crc32": ("bigint", zlib.crc32)}
 RUN = np.dtype([("length", "i8"), ("rank", "i8"), ("per", "i8"), ("sequence", "i8"), ("offset", "i8")])
@@ -45,7 +47,7 @@ class Words(dict):
     splitter parts from it anyway; any other piece goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int):
         self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
         self.model, level = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [chr(c) for c in range(256) if chr(c).isalpha() and chr(c) == chr(c).lower()]
@@ -73,16 +75,27 @@ class Words(dict):
 
 
 @functools.lru_cache(maxsize=2)
-def words(path: str) -> Words:
-    return Words(path)
+def words(path: str, most: int = KNOWN_WORDS) -> Words:
+    return Words(path, most)
 
 
 def encoded(text: str | None, known: Words) -> bytes:
-    """The ids of the whole text. The tokenizer's normalizer and splitter never look across a space or line end."""
-    return b"".join(map(known.__getitem__, (text or "").replace("\n", " ").split(" ")))
+    """The ids of the whole text. The tokenizer's normalizer and splitter never look across a space or line end.
+
+    Texts of the first 256 characters are lowered first, as the normalizer would, so that fewer pieces differ; not so with
+    a ``<``, as special tokens are told by their case.
+    """
+    text = text or ""
+    if "<" not in text:
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+    return b"".join(map(known.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, payload: tuple[str, ...] = ("ids",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, payload: tuple[str, ...] = ("ids",), id_col: str = "doc_id", text_col: str = "text", known_words: int = KNOWN_WORDS) -> DataFrame:
     """(id, piece, start, length, *payload, _part, _rank): the pieces, and each one's rank in its partition and length.
 
     The payload has any of ``ids`` (array of the piece's token ids) and ``ids_crc32`` (CRC-32 of them, 32-bit
@@ -91,7 +104,7 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     end = int(end_id).to_bytes(4, "little")
 
     def work(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        known, part, seen = words(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+        known, part, seen = words(tokenizer, known_words), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for b in batches:
             out: dict[str, list] = {k: [] for k in (id_col, "piece", "start", "length", *payload, "_part", "_rank")}
             for doc, text in zip(b[id_col], b[text_col], strict=True):
@@ -179,9 +192,9 @@ def placed(pieces: DataFrame, capacity: int = CAPACITY, **options) -> DataFrame:
     return ranked.mapInArrow(work, f"{schema}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, payload: tuple[str, ...] = ("ids",), id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, payload: tuple[str, ...] = ("ids",), id_col: str = "doc_id", text_col: str = "text", known_words: int = KNOWN_WORDS, **options) -> DataFrame:
     """(id, piece, start, length, *payload, sequence_id, offset) per piece; options go to :func:`plan`."""
-    return placed(written(tokenized(docs, tokenizer, capacity, end_id, payload, id_col, text_col), "pieces"), capacity, **options)
+    return placed(written(tokenized(docs, tokenizer, capacity, end_id, payload, id_col, text_col, known_words), "pieces"), capacity, **options)
 
 
 def default_tokenizer() -> str:
