@@ -45,3 +45,14 @@ def test_stages(spark, sf_dir):
             assert not any("@" in s for t in want.values() for s in t.split() if pii.base_spans(s))
         if name == "packing":
             assert ids == {r.doc_id for r in before} and sum(r.piece == 0 for r in after) == len(before)
+
+
+def test_stages_keep_columns_that_clash(spark, documents):
+    from pyspark.sql import functions as F
+
+    names = ["_score", "_id", "_th", "_cover", "_items", "_n_words", "_matches"]
+    docs = documents(["some words here", "other words there", None]).withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    labels = spark.createDataFrame([(0, 0, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "nothing like it")], "item_id long, text string")
+    for after in (toxicity.accepted(docs, labels), simhash.one_of_each(docs), decontaminate.decontaminated(docs, items), pii.redact(docs)):
+        assert after.columns == docs.columns and sorted(map(str, after.collect())) == sorted(map(str, docs.collect()))

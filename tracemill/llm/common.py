@@ -67,3 +67,9 @@ def map_rows(df: DataFrame, work: Callable[[Iterator[dict[str, list]]], Iterator
 def own_names(df: DataFrame, names: list[str]) -> DataFrame:
     """Only the columns an operator reads, so that further ones, whatever their names, can't clash with its own."""
     return df.select(*[df[n] for n in names])
+
+
+def set_aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with those of its columns that have one of the names renamed, and what names them back."""
+    other = {c: f"{c}-{uuid.uuid4().hex}" for c in df.columns if c.lower() in names}
+    return df.withColumnsRenamed(other), lambda out: out.withColumnsRenamed({v: k for k, v in other.items()})

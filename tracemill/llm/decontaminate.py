@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, own_names, table
+from .common import map_rows, own_names, set_aside, table
 
 WINDOW = 13
 #: Bytes to bytes: A-Z to lower case; what is in no word to a space.
@@ -205,7 +205,9 @@ def contaminated() -> F.Column:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents, all columns kept, without those of whose words a twentieth or more are hit."""
-    return contamination(docs, benchmark, **options).where(~contaminated()).select(*docs.columns)
+    helpers = ["_n_words", "_cover", "_items", "_matches"]
+    own, back = set_aside(docs, helpers)
+    return back(contamination(own, benchmark, **options).where(~contaminated()).drop(*helpers)).select(*docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, own_names, table, written
+from .common import map_rows, own_names, set_aside, table, written
 from .graph import components
 
 BITS, SEED = 64, 42
@@ -170,9 +170,10 @@ def one_of_each(docs: DataFrame, shingle_words: int = 5, distance: int = 3, id_c
     unnamed = F.when(F.col("component_id").isNull(), F.col("fp"))
     kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component_id", unnamed.alias("fp")).agg(F.min("th").alias("th"))
     kept = kept.select(F.col("component_id").alias("_id"), F.col("th").alias("_th"))
-    marked = docs.withColumn("_id", F.col(id_col)).withColumn("_th", F.xxhash64(text_col))
+    own, back = set_aside(docs, ["_id", "_th"])
+    marked = own.withColumn("_id", F.col(id_col)).withColumn("_th", F.xxhash64(text_col))
     same = marked["_id"].eqNullSafe(kept["_id"]) & (marked["_th"] == kept["_th"])
-    return marked.join(kept, same, "left_semi").dropDuplicates(["_id", "_th"]).select(*docs.columns)
+    return back(marked.join(kept, same, "left_semi").dropDuplicates(["_id", "_th"]).drop("_id", "_th")).select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
