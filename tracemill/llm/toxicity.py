@@ -22,25 +22,26 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, own_names, table
+from .common import map_rows, own_names, set_aside, table
 from .decontaminate import words_of
 from .labelled import class_sizes, fitted, held_out, logistic, platt, sample, training_labels, with_labels
 
 #: Most rows of each class that the model is fitted on.
-ROWS_PER_CLASS = {1: 1500, 0: 2500}
+ROWS_PER_CLASS = {1: 1200, 0: 1800}
 BUCKETS, WIDTH, WINDOW, SHORT, LONG = 1 << 16, 8, 2, 3, 6
-MOST_WORDS = 200_000
+MOST_WORDS = 150_000
 #: Words hashed at once, which bounds the memory of a step.
 PART = 30_000
 
 
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, word): the buckets of all words' character n-grams, with marked ends, and of the words themselves.
+    """(bucket, word): the buckets of the words' character n-grams, with marked ends, and of the words themselves; at most
+    ``PART`` words, so that both fit 16 bits.
 
     An n-gram's bytes are packed into one number, so all words are hashed together, length by length.
     """
     if not words:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+        return np.zeros(0, np.uint16), np.zeros(0, np.uint16)
     cut = [w[:64] for w in words]
     data = np.frombuffer(b"".join([b"<" + w + b">" for w in cut]), np.uint8).astype(np.uint64)
     size = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut)) + 2
@@ -55,7 +56,7 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             owners.append(word[own])
     buckets.append(np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words)) % np.uint64(BUCKETS))
     owners.append(np.arange(len(words), dtype=np.int32))
-    return np.concatenate(buckets).astype(np.int32), np.concatenate(owners)
+    return np.concatenate(buckets).astype(np.uint16), np.concatenate(owners).astype(np.uint16)
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -123,24 +124,30 @@ def train(rows: Iterable[tuple[str, int]], weights: dict[int, float], epochs: tu
         model.shift = 40.0 if share == 1 else -40.0
         return model
     every = list(vocabulary)
-    hashed = [(at, *grams(every[at : at + PART])) for at in range(0, len(every), PART)]
-    size = np.concatenate([np.bincount(w, minlength=len(every[at : at + PART])) for at, _, w in hashed] or [np.zeros(0, np.int64)])
-    starts = [window_starts(len(ids)) for ids, _ in texts]
-    word = np.concatenate([ids[a : a + WINDOW] for (ids, _), s in zip(texts, starts, strict=True) for a in s] or [np.zeros(0, np.int32)])
-    fill = np.array([min(WINDOW, len(ids)) if len(ids) else 0 for (ids, _), s in zip(texts, starts, strict=True) for _ in s], dtype=np.int64)
+    hashed = [(k, *grams(every[k : k + PART])) for k in range(0, len(every), PART)]
+    size = np.concatenate([np.bincount(w, minlength=len(every[k : k + PART])) for k, _, w in hashed] or [np.zeros(0, np.int64)])
+    known = len(every)
+    del every
+    texts_ids = [ids for ids, _ in texts]
+    word = np.concatenate(texts_ids)
+    at = np.cumsum([0, *map(len, texts_ids)])
+    starts = [a + window_starts(len(ids)) for a, ids in zip(at[:-1], texts_ids, strict=True)]
     windows = np.array([len(s) for s in starts])
-    of_window = np.repeat(np.arange(len(fill), dtype=np.int32), fill)
-    doc = np.repeat(np.arange(len(texts)), windows)
+    begin = np.concatenate(starts)
+    end = np.minimum(begin + WINDOW, np.repeat(at[1:], windows))
+    del vocabulary, texts, texts_ids, starts
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), windows)
     first = np.cumsum(windows) - windows
-    per, kept = np.maximum(fill, 1), np.arange(len(texts)) % 5 != 4
-    kept = kept if len(set(y[kept])) == 2 and len(set(y[~kept])) == 2 else np.ones(len(texts), bool)
+    per, kept = np.maximum(end - begin, 1), np.arange(len(y)) % 5 != 4
+    kept = kept if len(set(y[kept])) == 2 and len(set(y[~kept])) == 2 else np.ones(len(y), bool)
     balance = np.where(y > 0, 0.5 / max(y[kept].sum(), 1), 0.5 / max((1 - y)[kept].sum(), 1)) * kept
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (embedding, softmax, model.bias)]
 
     def window_margins() -> np.ndarray:
         scores = model.gram_scores()
-        scores = np.concatenate([np.bincount(w, scores[g], minlength=len(every[at : at + PART])) for at, g, w in hashed] or [size]) / size
-        return np.bincount(of_window, scores[word], minlength=len(fill)) / per + model.bias[1] - model.bias[0]
+        scores = np.concatenate([np.bincount(w, scores[g], minlength=min(PART, known - k)) for k, g, w in hashed] or [size]) / size
+        total = np.concatenate([[0.0], np.cumsum(scores[word])])
+        return (total[end] - total[begin]) / per + model.bias[1] - model.bias[0]
 
     def pooled(m: np.ndarray) -> np.ndarray:
         top = np.maximum.reduceat(m, first)
@@ -155,8 +162,10 @@ def train(rows: Iterable[tuple[str, int]], weights: dict[int, float], epochs: tu
         margin = np.add.reduceat(share * m, first) if step <= epochs[0] else pooled(m)
         pull = balance * (logistic(margin) - y)  # of the loss by the margin
         by_window = pull[doc] * share
-        by_word = np.bincount(word, (by_window / per)[of_window], minlength=len(size)) / size
-        by_gram = sum((np.bincount(g, by_word[at + w], minlength=BUCKETS) for at, g, w in hashed), np.zeros(BUCKETS))
+        by_window /= per
+        by_token = np.cumsum(np.bincount(begin, by_window, minlength=len(word) + 1) - np.bincount(end, by_window, minlength=len(word) + 1))[:-1]
+        by_word = np.bincount(word, by_token, minlength=len(size)) / size
+        by_gram = sum((np.bincount(g, by_word[k : k + PART][w], minlength=BUCKETS) for k, g, w in hashed), np.zeros(BUCKETS))
         difference = softmax[:, 1] - softmax[:, 0]
         turn = embedding.T @ by_gram
         grads = [np.outer(by_gram, difference) + decay * embedding, np.stack([-turn, turn], axis=1), np.array([-pull.sum(), pull.sum()])]
@@ -192,6 +201,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
         scores = m.gram_scores()
         for b in batches:
             yield {c: b[c] for c in kept} | {score_col: logistic(m.slope * m.margins(b[text_col], scores) + m.shift).tolist()}
+        m.words.clear()  # the worker may live on
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
     return map_rows(own_names(docs, list(dict.fromkeys([*kept, text_col]))), work, f"{kinds}`{score_col}` double")
@@ -199,7 +209,9 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
 def accepted(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", threshold: float = 0.5, **options) -> DataFrame:
     """The documents, all columns kept, that score below the threshold."""
-    return scored(docs, model_of(docs, labels, label_col, **options), score_col="_score").where(F.col("_score") < threshold).select(*docs.columns)
+    own, back = set_aside(docs, ["_score"])
+    found = scored(own, model_of(docs, labels, label_col, **options), score_col="_score")
+    return back(found.where(F.col("_score") < threshold).drop("_score")).select(*docs.columns)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
