@@ -166,7 +166,11 @@ def one_of_each(docs: DataFrame, shingle_words: int = 5, distance: int = 3, id_c
 
     Rows without an id that link to none with one stand for each of their fingerprints.
     """
-    found = near_duplicates(docs, shingle_words, distance, id_col, text_col)
+    return representatives(docs, near_duplicates(docs, shingle_words, distance, id_col, text_col), id_col, text_col)
+
+
+def representatives(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that :func:`one_of_each` keeps, given the components found."""
     unnamed = F.when(F.col("component_id").isNull(), F.col("fp"))
     kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component_id", unnamed.alias("fp")).agg(F.min("th").alias("th"))
     kept = kept.select(F.col("component_id").alias("_id"), F.col("th").alias("_th"))
