@@ -14,6 +14,7 @@ an empty one; further columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -30,33 +31,46 @@ from .labelled import class_sizes, fitted, held_out, logistic, platt, sample, tr
 ROWS_PER_CLASS = {1: 1200, 0: 1800}
 BUCKETS, WIDTH, WINDOW, SHORT, LONG = 1 << 16, 8, 2, 3, 6
 MOST_WORDS = 150_000
-#: Words hashed at once, which bounds the memory of a step.
-PART = 30_000
+#: Words hashed at once, and their bytes, which bound the memory of a step; a longer word is a part of its own.
+PART, PART_BYTES = 30_000, 1 << 20
+
+
+def parts(words: list[bytes]) -> list[tuple[int, int]]:
+    """Begin and end of the parts that the words are hashed in."""
+    cuts, held = [0], 0
+    for i, w in enumerate(words):
+        if i > cuts[-1] and (i - cuts[-1] == PART or held + len(w) + 2 > PART_BYTES):
+            cuts.append(i)
+            held = 0
+        held += len(w) + 2
+    return list(itertools.pairwise([*cuts, len(words)])) if words else []
 
 
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, word): the buckets of the words' character n-grams, with marked ends, and of the words themselves; at most
     ``PART`` words, so that both fit 16 bits.
 
-    An n-gram's bytes are packed into one number, so all words are hashed together, length by length.
+    An n-gram's bytes are packed into one number, so all words are hashed together, length by length, in slices of
+    ``PART_BYTES`` that overlap by an n-gram.
     """
     if not words:
         return np.zeros(0, np.uint16), np.zeros(0, np.uint16)
-    cut = [w[:64] for w in words]
-    data = np.frombuffer(b"".join([b"<" + w + b">" for w in cut]), np.uint8).astype(np.uint64)
-    size = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut)) + 2
-    word = np.repeat(np.arange(len(cut), dtype=np.int32), size)
-    left = np.repeat(np.cumsum(size), size) - np.arange(len(data))
-    packed, buckets, owners = data.copy(), [], []
-    for n in range(2, min(LONG, len(data)) + 1):
-        packed[: len(data) - n + 1] |= data[n - 1 :] << np.uint64(8 * (n - 1))
-        if n >= SHORT:
-            own = np.flatnonzero(left >= n)
-            buckets.append(((packed[own] + np.uint64(n << 50)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48))
-            owners.append(word[own])
-    buckets.append(np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words)) % np.uint64(BUCKETS))
-    owners.append(np.arange(len(words), dtype=np.int32))
-    return np.concatenate(buckets).astype(np.uint16), np.concatenate(owners).astype(np.uint16)
+    data = np.frombuffer(b"".join([b"<" + w + b">" for w in words]), np.uint8)
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    word, ends, buckets, owners = np.repeat(np.arange(len(words), dtype=np.uint16), size), np.cumsum(size), [], []
+    for at in range(0, len(data), PART_BYTES):
+        own_data = data[at : at + PART_BYTES + LONG - 1].astype(np.uint64)
+        owner = word[at : at + PART_BYTES]
+        left, packed = ends[owner] - np.arange(at, at + len(owner)), own_data.copy()
+        for n in range(2, min(LONG, len(own_data)) + 1):
+            packed[: len(own_data) - n + 1] |= own_data[n - 1 :] << np.uint64(8 * (n - 1))
+            if n >= SHORT:
+                own = np.flatnonzero(left >= n)
+                buckets.append((((packed[own] + np.uint64(n << 50)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16))
+                owners.append(owner[own])
+    buckets.append(np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words)).astype(np.uint16))
+    owners.append(np.arange(len(words), dtype=np.uint16))
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -86,8 +100,8 @@ class Model:
         if len(self.words) + len(words) > MOST_WORDS:
             self.words.clear()
         new = list(words - self.words.keys())
-        for at in range(0, len(new), PART):
-            part = new[at : at + PART]
+        for begin, end in parts(new):
+            part = new[begin:end]
             bucket, word = grams(part)
             mean = np.bincount(word, scores[bucket], minlength=len(part)) / np.bincount(word, minlength=len(part))
             self.words.update(zip(part, mean.tolist(), strict=True))
@@ -124,9 +138,8 @@ def train(rows: Iterable[tuple[str, int]], weights: dict[int, float], epochs: tu
         model.shift = 40.0 if share == 1 else -40.0
         return model
     every = list(vocabulary)
-    hashed = [(k, *grams(every[k : k + PART])) for k in range(0, len(every), PART)]
-    size = np.concatenate([np.bincount(w, minlength=len(every[k : k + PART])) for k, _, w in hashed] or [np.zeros(0, np.int64)])
-    known = len(every)
+    hashed = [(slice(a, b), *grams(every[a:b])) for a, b in parts(every)]
+    size = np.concatenate([np.bincount(w, minlength=k.stop - k.start) for k, _, w in hashed] or [np.zeros(0, np.int64)])
     del every
     texts_ids = [ids for ids, _ in texts]
     word = np.concatenate(texts_ids)
@@ -145,7 +158,7 @@ def train(rows: Iterable[tuple[str, int]], weights: dict[int, float], epochs: tu
 
     def window_margins() -> np.ndarray:
         scores = model.gram_scores()
-        scores = np.concatenate([np.bincount(w, scores[g], minlength=min(PART, known - k)) for k, g, w in hashed] or [size]) / size
+        scores = np.concatenate([np.bincount(w, scores[g], minlength=k.stop - k.start) for k, g, w in hashed] or [size]) / size
         total = np.concatenate([[0.0], np.cumsum(scores[word])])
         return (total[end] - total[begin]) / per + model.bias[1] - model.bias[0]
 
@@ -165,7 +178,7 @@ def train(rows: Iterable[tuple[str, int]], weights: dict[int, float], epochs: tu
         by_window /= per
         by_token = np.cumsum(np.bincount(begin, by_window, minlength=len(word) + 1) - np.bincount(end, by_window, minlength=len(word) + 1))[:-1]
         by_word = np.bincount(word, by_token, minlength=len(size)) / size
-        by_gram = sum((np.bincount(g, by_word[k : k + PART][w], minlength=BUCKETS) for k, g, w in hashed), np.zeros(BUCKETS))
+        by_gram = sum((np.bincount(g, by_word[k][w], minlength=BUCKETS) for k, g, w in hashed), np.zeros(BUCKETS))
         difference = softmax[:, 1] - softmax[:, 0]
         turn = embedding.T @ by_gram
         grads = [np.outer(by_gram, difference) + decay * embedding, np.stack([-turn, turn], axis=1), np.array([-pull.sum(), pull.sum()])]
