@@ -87,7 +87,8 @@ def base_spans(text: str) -> list[Span]:
 
 def candidates(text: str) -> list[Span]:
     """Overlapping proposals of the further kinds."""
-    found = {(kind, m.start(), m.end()) for kind, pattern, needs in GENERATORS if kind != "iban" and needs in text for m in pattern.finditer(text)}
+    lower = text.lower()
+    found = {(kind, m.start(), m.end()) for kind, pattern, needs in GENERATORS if kind != "iban" and needs in lower for m in pattern.finditer(text)}
     for c in CLUSTER.finditer(text):
         if c.end() - c.start() >= 7:
             start = c.start() - (text[c.start() - 1 : c.start()] == "(")
