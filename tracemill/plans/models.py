@@ -160,24 +160,20 @@ for _name, _measure in (("uemsc", conformance.unit_earth_movers), ("hellinger",
     query(None, f"conformance_{_name}_sample")(_sampled)
 
 
-def small(spark, d, parity):
-    return session_slang(spark, d, parity).where("cnt >= 5")
-
-
 @query(None)
 def bootstrap_test(spark, d):
-    return rounded(statistics.bootstrap_test(small(spark, d, 0), small(spark, d, 1), 20), "base", "p")
+    return rounded(statistics.bootstrap_test(*two(spark, d)), "base", "p")
 
 
 @query(None)
 def permutation_test(spark, d):
-    return rounded(statistics.permutation_test(small(spark, d, 0), small(spark, d, 1), 20), "base", "p")
+    return rounded(statistics.permutation_test(*two(spark, d)), "base", "p")
 
 
 @query(None)
 def permutation_test_model(spark, d):
-    part = small(spark, d, 0).where("cnt >= 40").select("trace", (F.col("cnt") / 20).cast("long").alias("cnt")).withColumn("n", F.lit(1).cast("long"))
-    return rounded(statistics.permutation_test_model(part, automaton_of_language(from_slang(log.with_total(part.drop("n")))), 10), "p")
+    part = session_slang(spark, d, 0)
+    return rounded(statistics.permutation_test_model(part, automaton_of_language(from_slang(part))), "p")
 
 
 @query(None)
@@ -198,7 +194,7 @@ def association_categorical(spark, d):
 
 @query(None)
 def cluster(spark, d):
-    return statistics.cluster(small(spark, d, None), 3).select(as_text())
+    return statistics.cluster(session_slang(spark, d), 3).select(as_text())
 
 
 @query(None)
@@ -208,7 +204,8 @@ def sample_model(spark, d):
 
 @query(None)
 def explain_trace(spark, d):
-    found = alignment.explain(small(spark, d, None), automaton_of_language(from_slang(log.with_total(small(spark, d, None).drop("n")))))
+    own = session_slang(spark, d)
+    found = alignment.explain(own, automaton_of_language(from_slang(own)))
     return found.select(as_text(), F.size("moves").alias("moves"))
 
 
