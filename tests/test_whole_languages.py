@@ -18,6 +18,7 @@ def test_all_variants_reach_the_operator(spark, sf_dir, monkeypatch, name):
     assert not options and not any(isinstance(x, int) for x in given[: 1 if name == "cluster" else None])
 
 
-def test_explanations_have_all_variants(spark, sf_dir):
+def test_explanations_and_distances_have_all_variants(spark, sf_dir):
     n = catalogue.session_slang(spark, sf_dir).count()
     assert models.explain_trace(spark, sf_dir).count() == n
+    assert catalogue.distance_matrix(spark, sf_dir).count() == n * (n - 1) // 2

@@ -200,8 +200,7 @@ def medoid_non_stochastic(spark, d):
 @query("SELECT x.trace AS a, y.trace AS b, levenshtein(x.code, y.code) AS distance, round(levenshtein(x.code, y.code) / greatest(length(x.code), length(y.code)), 6) AS normalised FROM (SELECT * FROM code WHERE cnt >= 5) x JOIN (SELECT * FROM code WHERE cnt >= 5) y ON x.code < y.code")
 def distance_matrix(spark, d):
     (coded,) = distance.encoded(session_slang(spark, d))
-    first = F.transform("trace", lambda a: F.left(a, F.lit(1)))
-    coded = coded.where("cnt >= 5").withColumn("code", F.concat_ws("", first)).withColumn("trace", log.joined())
+    coded = coded.withColumn("trace", log.joined())
     return distance.pairs(coded).select(F.least("a_trace", "b_trace").alias("a"), F.greatest("a_trace", "b_trace").alias("b"), F.levenshtein("a_code", "b_code").cast("long").alias("distance"), F.round(distance.normalised("a_code", "b_code"), 6).alias("normalised"))
 
 
