@@ -2,7 +2,7 @@
 
 import pytest
 
-from tracemill.operators import statistics
+from tracemill.operators import association, statistics
 from tracemill.plans import catalogue, models
 
 
@@ -18,6 +18,16 @@ def test_all_variants_reach_the_operator(spark, sf_dir, monkeypatch, name):
     assert not options and not any(isinstance(x, int) for x in given[: 1 if name == "cluster" else None])
 
 
+@pytest.mark.parametrize("name", ["categorical_attribute_test", "association_categorical"])
+def test_all_cases_reach_the_operator(spark, sf_dir, monkeypatch, name):
+    seen = []
+    made = spark.createDataFrame([(0.0,)], "p double")
+    monkeypatch.setattr(*((association, "categorical") if name == "association_categorical" else (statistics, "categorical_test")), lambda *a, **k: seen.append((a, k)) or made)
+    catalogue.QUERIES[name](spark, sf_dir)
+    (given, options) = seen[0]
+    assert given[0].count() == catalogue.session_log(spark, sf_dir).count() and given[1:] == ("half",) and not options
+
+
 def test_explanations_and_distances_have_all_variants(spark, sf_dir):
     n = catalogue.session_slang(spark, sf_dir).count()
     assert models.explain_trace(spark, sf_dir).count() == n

@@ -180,7 +180,7 @@ def permutation_test_model(spark, d):
 def categorical_attribute_test(spark, d):
     own = session_events(spark, d).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"), F.min("ts").alias("t"))
     own = own.select("case_id", F.col("e.event_type").alias("trace"), F.hour("t").alias("hour")).withColumn("half", F.when(F.col("hour") < 12, "am").otherwise("pm"))
-    return rounded(statistics.categorical_test(own.where("size(trace) <= 3"), "half", 50), "p")
+    return rounded(statistics.categorical_test(own, "half"), "p")
 
 
 @query(None)
@@ -189,7 +189,7 @@ def association_categorical(spark, d):
 
     own = session_events(spark, d).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"), F.min("ts").alias("t"))
     own = own.select("case_id", F.col("e.event_type").alias("trace"), F.when(F.hour("t") < 12, "am").otherwise("pm").alias("half"))
-    return categorical(own.where("size(trace) <= 3"), "half", 50, 300)
+    return categorical(own, "half")
 
 
 @query(None)
