@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import map_rows
@@ -14,6 +15,8 @@ from .common import map_rows
 #: Labels that may be broadcast to the documents, as rows; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
 FOLDS = 5
+#: Most bytes of text that a model is fitted on.
+SAMPLE_BYTES = 64 << 20
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -31,10 +34,18 @@ def class_sizes(labels: DataFrame) -> dict[int, int]:
     return {int(r[0]): int(r[1]) for r in labels.groupBy("y").count().collect()}  # two rows
 
 
-def sample(labels: DataFrame, rows_per_class: dict[int, int], id_col: str = "doc_id") -> DataFrame:
-    """At most so many labelled ids of each class, chosen by a hash of the id."""
-    parts = [labels.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(n) for y, n in rows_per_class.items()]
-    return parts[0].unionByName(parts[1])
+def sample(docs: DataFrame, labels: DataFrame, rows_per_class: dict[int, int], id_col: str = "doc_id", text_col: str = "text", most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(id, text, y) of at most so many labelled ids of each class, chosen by a hash of the id, and of so many bytes of text.
+
+    An id gives one row, however many rows of ``docs`` carry it: the text with the least hash. Rows that would exceed the
+    bytes are left out whole; the running sum goes over the bounded rows only.
+    """
+    ids = [labels.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(n) for y, n in rows_per_class.items()]
+    joined = with_labels(docs, ids[0].unionByName(ids[1]), sum(rows_per_class.values()), id_col, text_col)
+    rows = joined.groupBy(id_col).agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))
+    rows = rows.select(F.col(id_col).alias("id"), "text", "y", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    so_far = F.sum("size").over(W.partitionBy().orderBy(F.xxhash64("id"), "id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return rows.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).select("id", "text", "y")
 
 
 def with_labels(docs: DataFrame, labels: DataFrame, n_labels: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,7 +61,7 @@ def fitted(rows: DataFrame, fit: Callable[[Iterator[tuple[str | None, int]]], ob
         order = sorted((d, t or "", y) for b in batches for d, t, y in zip(b["id"], b["text"], b["y"], strict=True))
         yield {"model": [pickle.dumps(fit((t, y) for _, t, y in order))]}
 
-    own = rows.select(F.xxhash64(rows.columns[0]).alias("id"), "text", "y")
+    own = rows.select(F.xxhash64("id").alias("id"), "text", "y")
     return pickle.loads(map_rows(own.repartition(1), work, "model binary").first()[0])
 
 

@@ -3,12 +3,13 @@
 A text is the set of its n-grams: words, and n-grams of one to three of its tokens' shapes, each hashed to a bucket. The
 class log-count ratios of the buckets are counted over all rows that may be learnt from, summed in each task before the
 shuffle. A linear hinge-loss model is then fitted by dual coordinate descent to the indicators scaled by these ratios, on
-a bounded sample (``rows_per_class``), its weights are interpolated with their mean size as usual for this model, and
+a bounded sample (``rows_per_class``, :data:`labelled.SAMPLE_BYTES`), its weights are interpolated with their mean size as usual for this model, and
 margins are calibrated on rows of the sample that were kept back.
 
 Defined results: a null or empty text has no n-grams and scores by the calibration's shift alone; without labels of both
-classes every score is the share of the class seen, or 1 without any; repeated rows score alike; an empty table gives an
-empty one; further columns are not read.
+classes every score is that of the class seen, and 1 without any, as no document is dropped on no evidence; of several texts
+with one id, all count for the ratios and the one with the least hash is fitted; repeated rows score alike; an empty table
+gives an empty one; further columns are not read.
 """
 
 from __future__ import annotations
@@ -163,7 +164,7 @@ def model_of(docs: DataFrame, labels: DataFrame, label_col: str, rows_per_class:
     if not sizes:
         return train([], np.zeros(BUCKETS, np.float32), weights)
     ratio = ratios(with_labels(docs, known, sum(sizes.values()), id_col, text_col))
-    chosen = with_labels(docs, sample(known, bound, id_col), sum(bound.values()), id_col, text_col)
+    chosen = sample(docs, known, bound, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)  # BUCKETS floats: 1 MB
     return fitted(chosen, lambda rows: train(rows, shared.value, weights, **options))
 

@@ -1,15 +1,18 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the mean of the embeddings of its character n-grams and of itself, so misspelt and inflected words that were
-never seen share vectors with those that were. The words of a window are averaged and go through a linear softmax; a
-document scores as the soft maximum of its windows, so that one insult is not diluted by a long text around it. Embeddings
-and softmax are trained together by Adam: first on averages of whole documents, then on soft maxima.
-
-The sample to learn from is bounded by ``rows_per_class``; scores come from the whole text and nothing else.
-
-Defined results: a null or empty text scores as a window without words, by the softmax's bias alone; without labels of
-both classes every score is the share of the class seen, or 0 without any; repeated rows score alike; an empty table gives
-an empty one; further columns are not read.
+never seen share vectors with those that were. The vector of each word goes through a linear softmax, and a document's
+log odds are the exponential mean of its words' log odds: a mean, so that a text doesn't become toxic by being long or by
+being repeated, but one in which an insult counts for more than the clean words around it. Embeddings and softmax are
+trained together by Adam: first on plain means over whole documents, then on exponential means.
+
+The sample to learn from is bounded by ``rows_per_class`` and :data:`labelled.SAMPLE_BYTES`; scores come from the whole
+text and nothing else.
+
+Defined results: a null or empty text scores as one word without letters; without labels of both classes every score is
+that of the class seen, and 0 without any, as no document is called toxic on no evidence; of several texts with one id that
+is learnt from, the one with the least hash is taken; repeated rows score alike; an empty table gives an empty one; further
+columns are not read.
 """
 
 from __future__ import annotations
@@ -25,14 +28,16 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, own_names, set_aside, table
 from .decontaminate import words_of
-from .labelled import class_sizes, fitted, held_out, logistic, platt, sample, training_labels, with_labels
+from .labelled import class_sizes, fitted, held_out, logistic, platt, sample, training_labels
 
 #: Most rows of each class that the model is fitted on.
 ROWS_PER_CLASS = {1: 1200, 0: 1800}
-BUCKETS, WIDTH, WINDOW, SHORT, LONG = 1 << 16, 8, 2, 3, 6
+BUCKETS, WIDTH, SHORT, LONG = 1 << 16, 8, 3, 6
 MOST_WORDS = 150_000
 #: Words hashed at once, and their bytes, which bound the memory of a step; a longer word is a part of its own.
 PART, PART_BYTES = 30_000, 1 << 20
+#: The word of a text without words.
+NOTHING = [b""]
 
 
 def parts(words: list[bytes]) -> list[tuple[int, int]]:
@@ -50,32 +55,38 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, word): the buckets of the words' character n-grams, with marked ends, and of the words themselves; at most
     ``PART`` words, so that both fit 16 bits.
 
-    An n-gram's bytes are packed into one number, so all words are hashed together, length by length, in slices of
-    ``PART_BYTES`` that overlap by an n-gram.
+    An n-gram is hashed as a polynomial of its characters, so all words are hashed together, length by length, in slices of
+    ``PART_BYTES`` characters that overlap by an n-gram.
     """
     if not words:
         return np.zeros(0, np.uint16), np.zeros(0, np.uint16)
-    data = np.frombuffer(b"".join([b"<" + w + b">" for w in words]), np.uint8)
-    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    marked = [f"<{w.decode()}>" for w in words]
+    data = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
+    size = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
     word, ends, buckets, owners = np.repeat(np.arange(len(words), dtype=np.uint16), size), np.cumsum(size), [], []
     for at in range(0, len(data), PART_BYTES):
         own_data = data[at : at + PART_BYTES + LONG - 1].astype(np.uint64)
         owner = word[at : at + PART_BYTES]
-        left, packed = ends[owner] - np.arange(at, at + len(owner)), own_data.copy()
+        left, mixed = ends[owner] - np.arange(at, at + len(owner)), own_data.copy()
         for n in range(2, min(LONG, len(own_data)) + 1):
-            packed[: len(own_data) - n + 1] |= own_data[n - 1 :] << np.uint64(8 * (n - 1))
+            mixed[: len(own_data) - n + 1] += own_data[n - 1 :] * np.uint64(pow(0x100000001B3, n - 1, 1 << 64))
             if n >= SHORT:
                 own = np.flatnonzero(left >= n)
-                buckets.append((((packed[own] + np.uint64(n << 50)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16))
+                buckets.append((((mixed[own] + np.uint64(n << 50)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16))
                 owners.append(owner[own])
     buckets.append(np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words)).astype(np.uint16))
     owners.append(np.arange(len(words), dtype=np.uint16))
     return np.concatenate(buckets), np.concatenate(owners)
 
 
-def window_starts(n: int) -> np.ndarray:
-    """A window begins at every word that has enough after it; a short text is one window."""
-    return np.arange(max(1, n - WINDOW + 1))
+def pooled(m: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exponential mean of each run of ``m`` that begins at ``first``, what each value weighs in its run)."""
+    n = np.diff(np.append(first, len(m)))
+    run = np.repeat(np.arange(len(first)), n)
+    top = np.maximum.reduceat(m, first)
+    share = np.exp(m - top[run])
+    total = np.add.reduceat(share, first)
+    return top + np.log(total / n), share / total[run]
 
 
 @dataclass
@@ -107,89 +118,83 @@ class Model:
             self.words.update(zip(part, mean.tolist(), strict=True))
 
     def margins(self, texts: list[str | None], scores: np.ndarray) -> np.ndarray:
-        """Per text the soft maximum of its windows' log odds; by linearity a window's are the mean of its words' own."""
-        split, bias = [words_of(t) for t in texts], float(self.bias[1] - self.bias[0])
+        """Per text the exponential mean of its words' log odds; by linearity a word's are the mean of its n-grams' own."""
+        split = [words_of(t) or NOTHING for t in texts]
+        if not split:
+            return np.zeros(0)
         self.learn(set().union(*split), scores)
-        known, out = self.words, np.full(len(texts), bias)
-        for i, words in enumerate(split):
-            if words:
-                own = np.fromiter(map(known.__getitem__, words), dtype=np.float64, count=len(words))
-                total = np.concatenate([[0.0], np.cumsum(own)])
-                at = window_starts(len(words))
-                end = np.minimum(at + WINDOW, len(words))
-                m = (total[end] - total[at]) / (end - at)
-                top = m.max()
-                out[i] += top + np.log(np.exp(m - top).sum())
-        return out
+        sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        own = np.fromiter(map(self.words.__getitem__, itertools.chain.from_iterable(split)), dtype=np.float64, count=int(sizes.sum()))
+        return pooled(own, np.cumsum(sizes) - sizes)[0] + float(self.bias[1] - self.bias[0])
+
+
+@dataclass
+class Sample:
+    """Texts to learn from, as numbers of words: (words, buckets, owners) of each part, n-grams per word, words in order."""
+
+    hashed: list[tuple[slice, np.ndarray, np.ndarray]]
+    size: np.ndarray
+    word: np.ndarray
+    lengths: np.ndarray
+    y: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+
+    def margins(self, model: Model) -> np.ndarray:
+        """The log odds of every word."""
+        scores = model.gram_scores()
+        scores = np.concatenate([np.bincount(w, scores[g], minlength=k.stop - k.start) for k, g, w in self.hashed]) / self.size
+        return scores[self.word] + model.bias[1] - model.bias[0]
+
+    def gradients(self, model: Model, weight: np.ndarray, plain: bool, decay: float) -> list[np.ndarray]:
+        """Of the weighted logistic loss by embeddings, softmax and biases; over plain or exponential means."""
+        m = self.margins(model)
+        margin, share = (np.add.reduceat(m, self.first) / self.lengths, 1 / self.lengths[self.doc]) if plain else pooled(m, self.first)
+        pull = weight * (logistic(margin) - self.y)  # of the loss by the margin
+        by_word = np.bincount(self.word, pull[self.doc] * share, minlength=len(self.size)) / self.size
+        by_gram = sum((np.bincount(g, by_word[k][w], minlength=BUCKETS) for k, g, w in self.hashed), np.zeros(BUCKETS))
+        turn = model.embedding.T @ by_gram
+        return [np.outer(by_gram, model.softmax[:, 1] - model.softmax[:, 0]) + decay * model.embedding, np.stack([-turn, turn], axis=1), np.array([-pull.sum(), pull.sum()])]
+
+
+def sample_of(rows: Iterable[tuple[str, int]]) -> Sample:
+    vocabulary: dict[bytes, int] = {}
+    texts, y = [], []
+    for text, label in rows:
+        texts.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text) or NOTHING], dtype=np.int32))
+        y.append(float(label))
+    every = list(vocabulary)
+    hashed = [(slice(a, b), *grams(every[a:b])) for a, b in parts(every)]
+    size = np.concatenate([np.bincount(w, minlength=k.stop - k.start) for k, _, w in hashed])
+    return Sample(hashed, size, np.concatenate(texts), np.array([len(t) for t in texts]), np.array(y))
 
 
 def train(rows: Iterable[tuple[str, int]], weights: dict[int, float], epochs: tuple[int, int] = (20, 80), rate: float = 0.05, decay: float = 1e-5, seed: int = 11) -> Model:
     """Full-batch Adam. A fifth of the rows is kept back for the calibration."""
-    vocabulary: dict[bytes, int] = {}
-    texts = [(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], dtype=np.int32), y) for t, y in rows]
-    rng = np.random.default_rng(seed)
-    embedding = rng.normal(0, 0.1, (BUCKETS, WIDTH))
-    softmax = np.stack([np.full(WIDTH, -0.1), np.full(WIDTH, 0.1)], axis=1) + rng.normal(0, 0.02, (WIDTH, 2))
-    y = np.array([label for _, label in texts], dtype=float)
-    model = Model(embedding, softmax, np.zeros(2))
-    if not len(texts) or y.min() == y.max():
+    rows, rng = list(rows), np.random.default_rng(seed)
+    model = Model(rng.normal(0, 0.1, (BUCKETS, WIDTH)), np.stack([np.full(WIDTH, -0.1), np.full(WIDTH, 0.1)], axis=1) + rng.normal(0, 0.02, (WIDTH, 2)), np.zeros(2))
+    classes = {int(y) for _, y in rows}
+    if len(classes) < 2:
         model.embedding[:] = 0
-        model.slope, share = 0.0, float(y.mean()) if len(y) else 0.0
-        model.shift = 40.0 if share == 1 else -40.0
+        model.slope, model.shift = 0.0, 40.0 if 1 in classes else -40.0
         return model
-    every = list(vocabulary)
-    hashed = [(slice(a, b), *grams(every[a:b])) for a, b in parts(every)]
-    size = np.concatenate([np.bincount(w, minlength=k.stop - k.start) for k, _, w in hashed] or [np.zeros(0, np.int64)])
-    del every
-    texts_ids = [ids for ids, _ in texts]
-    word = np.concatenate(texts_ids)
-    at = np.cumsum([0, *map(len, texts_ids)])
-    starts = [a + window_starts(len(ids)) for a, ids in zip(at[:-1], texts_ids, strict=True)]
-    windows = np.array([len(s) for s in starts])
-    begin = np.concatenate(starts)
-    end = np.minimum(begin + WINDOW, np.repeat(at[1:], windows))
-    del vocabulary, texts, texts_ids, starts
-    doc = np.repeat(np.arange(len(y), dtype=np.int32), windows)
-    first = np.cumsum(windows) - windows
-    per, kept = np.maximum(end - begin, 1), np.arange(len(y)) % 5 != 4
+    sample = sample_of(rows)
+    y, kept = sample.y, np.arange(len(rows)) % 5 != 4
+    del rows
     kept = kept if len(set(y[kept])) == 2 and len(set(y[~kept])) == 2 else np.ones(len(y), bool)
     balance = np.where(y > 0, 0.5 / max(y[kept].sum(), 1), 0.5 / max((1 - y)[kept].sum(), 1)) * kept
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (embedding, softmax, model.bias)]
-
-    def window_margins() -> np.ndarray:
-        scores = model.gram_scores()
-        scores = np.concatenate([np.bincount(w, scores[g], minlength=k.stop - k.start) for k, g, w in hashed] or [size]) / size
-        total = np.concatenate([[0.0], np.cumsum(scores[word])])
-        return (total[end] - total[begin]) / per + model.bias[1] - model.bias[0]
-
-    def pooled(m: np.ndarray) -> np.ndarray:
-        top = np.maximum.reduceat(m, first)
-        return top + np.log(np.add.reduceat(np.exp(m - top[doc]), first))
-
+    parameters = (model.embedding, model.softmax, model.bias)
+    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in parameters]
     for step in range(1, sum(epochs) + 1):
-        m = window_margins()
-        if step <= epochs[0]:
-            share = 1 / windows[doc]
-        else:
-            share = np.exp(m - pooled(m)[doc])
-        margin = np.add.reduceat(share * m, first) if step <= epochs[0] else pooled(m)
-        pull = balance * (logistic(margin) - y)  # of the loss by the margin
-        by_window = pull[doc] * share
-        by_window /= per
-        by_token = np.cumsum(np.bincount(begin, by_window, minlength=len(word) + 1) - np.bincount(end, by_window, minlength=len(word) + 1))[:-1]
-        by_word = np.bincount(word, by_token, minlength=len(size)) / size
-        by_gram = sum((np.bincount(g, by_word[k][w], minlength=BUCKETS) for k, g, w in hashed), np.zeros(BUCKETS))
-        difference = softmax[:, 1] - softmax[:, 0]
-        turn = embedding.T @ by_gram
-        grads = [np.outer(by_gram, difference) + decay * embedding, np.stack([-turn, turn], axis=1), np.array([-pull.sum(), pull.sum()])]
-        for p, g, (a, b) in zip((embedding, softmax, model.bias), grads, moments, strict=True):
+        for p, g, (a, b) in zip(parameters, sample.gradients(model, balance, step <= epochs[0], decay), moments, strict=True):
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
             p -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
-    margin = pooled(window_margins())
-    held = ~kept if (~kept).any() else kept
+    margin, held = pooled(sample.margins(model), sample.first)[0], ~kept if (~kept).any() else kept
     model.slope, model.shift = platt(margin[held], y[held], np.array([weights[int(v)] for v in y[held]]))
-    model.embedding = embedding.astype(np.float32)
+    model.embedding = model.embedding.astype(np.float32)
     return model
 
 
@@ -200,8 +205,7 @@ def model_of(docs: DataFrame, labels: DataFrame, label_col: str, rows_per_class:
     weights = {y: max(1.0, sizes.get(y, 0) / n) for y, n in bound.items()}
     if not sizes:
         return train([], weights)
-    chosen = with_labels(docs, sample(known, bound, id_col), sum(bound.values()), id_col, text_col)
-    return fitted(chosen, lambda rows: train(rows, weights, **options))
+    return fitted(sample(docs, known, bound, id_col, text_col), lambda rows: train(rows, weights, **options))
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
