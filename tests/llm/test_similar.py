@@ -137,7 +137,46 @@ def test_contamination_query(spark, documents, tables):
     assert decontaminate.op8_decontaminate(spark, none).first().n_hit == 0
 
 
+def plain_matches(text, items, window=13):
+    """Every stretch of the text that is in an item, a window long at least, and in no longer one; first place in the item."""
+    w, out = decontaminate.words_of(text), []
+    for name, t in items:
+        x = decontaminate.words_of(t)
+        least, found = min(window, len(x)), {}
+        for a in range(len(w)):
+            for n in range(len(w) - a, max(least, 1) - 1, -1):
+                at = next((k for k in range(len(x) - n + 1) if x[k : k + n] == w[a : a + n]), None)
+                if at is not None:
+                    found[a, a + n] = at
+                    break
+        out += [(None if name is None else str(name), a, at, b - a) for (a, b), at in found.items() if not any(c <= a and b <= d and (a, b) != (c, d) for c, d in found)]
+    return sorted(out, key=str)
+
+
 def test_longest_matches():
-    index = decontaminate.index_of([(1, " ".join(f"w{i}" for i in range(40)))])
-    (_, cover, items, matches), = decontaminate.searched(["x " + " ".join(f"w{i}" for i in range(5, 30)) + " y"], index)
-    assert (cover, items) == ([(1, 26)], ["1"]) and matches == [{"item_id": "1", "doc_word": 1, "item_word": 5, "n_words": 25}]
+    say = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    rng = random.Random(6)
+    noise = lambda n: " ".join(rng.choice("ab") for _ in range(n))
+    cases = [
+        ([f"x {say(5, 30)} y"], [(1, say(0, 40))]),
+        ([say(0, 20)], [(1, say(0, 13)), (2, "z " + say(0, 20))]),  # a window of two items
+        ([say(0, 30)], [(1, f"{say(0, 20)} mid {say(0, 30)}")]),  # a window twice in an item
+        (["a " * 60, "a " * 13, "b"], [(1, "a " * 30), (1, "a " * 20), (None, "a " * 14), (2, "b")]),
+        ([noise(80), noise(40) + " c " + noise(40)], [(i, noise(n)) for i, n in enumerate([5, 13, 20, 40, 60])]),
+        ([say(0, 30) + " " + say(10, 25)], [(1, say(0, 15) + " q " + say(12, 30)), (2, say(3, 28))]),
+    ]
+    for texts, items in cases:
+        index = decontaminate.index_of(items)
+        for text, (_, _, _, matches) in zip(texts, decontaminate.searched(texts, index), strict=True):
+            assert sorted(((m["item_id"], m["doc_word"], m["item_word"], m["n_words"]) for m in matches), key=str) == plain_matches(text, items)
+
+
+def test_repeated_words_take_linear_time():
+    index = decontaminate.index_of([(i, "a " * (20_000 + i)) for i in range(3)])
+    (n, cover, items, matches), = decontaminate.searched(["a " * 30_000], index)
+    assert (n, cover, items) == (30_000, [(0, 30_000)], ["0", "1", "2"]) and max(m["n_words"] for m in matches) == 20_002
+
+
+def test_repeated_items_are_sent_once(spark):
+    rows = spark.createDataFrame([(1, "a b")] * 50 + [(2, "c")], "item_id long, text string")
+    assert [part.count() for part in decontaminate.blocks(rows, "item_id", "text", 1000)] == [2]

@@ -3,14 +3,19 @@
 Documents are cut into shards of whole texts. For each shard a suffix array orders its word positions by the words that
 follow, to the depth of a window; positions from which no window can begin, because one of the next words occurs in no
 test item, are left out, which loses no match. Every test suffix is binary-searched in the array of every shard; the range
-found gives all places of the window, neighbouring places give the longest verbatim matches, and the words they cover are
-the hits. Documents with enough hits are removed.
+found gives all places of its window, and the words they cover are the hits. Around the hits test suffixes are compared to
+their ends: a stretch of hits is followed through the suffix automaton of each item found there, which gives the longest
+verbatim matches in time linear in the stretch, however often words repeat. Documents with enough hits are removed.
 
-Test items are broadcast, in blocks of at most ``block_chars`` characters; further blocks add further passes over the
-texts, whose results accumulate in columns, so that neither side is ever collected whole when it is large.
+Matches are told for each item as (item_id, doc_word, item_word, n_words): all stretches of the document that occur in the
+item, are a window long at least, and lie in no longer such stretch; the place in the item is the first one.
+
+Test items are broadcast, each once, in blocks of at most ``block_chars`` characters (an item is never split); further
+blocks add further passes over the texts, whose results accumulate in columns, so that neither side is ever collected whole
+when it is large.
 
 Defined results: a null text has no words; an item without words matches nothing; an item of fewer words than a window is
-one window; repeated rows and items give repeated results and one entry; an item whose id is null hits words, but isn't
+one window; repeated rows give repeated results, repeated items one entry; an item whose id is null hits words, but isn't
 listed; without items no word is hit; an empty table gives an empty one.
 """
 
@@ -19,7 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +36,8 @@ from .common import map_rows, own_names, set_aside, table
 WINDOW = 13
 #: Bytes to bytes: A-Z to lower case; what is in no word to a space.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Words of the items whose automata a worker keeps at once.
+MOST_STATES = 200_000
 MATCH = "array<struct<item_id: string, doc_word: int, item_word: int, n_words: int>>"
 
 
@@ -38,22 +45,77 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(TABLE).split()
 
 
+class Automaton:
+    """The suffix automaton of a sequence: its states stand for the sets of places where parts of the sequence end."""
+
+    def __init__(self, words: list[int]):
+        self.next, self.link, self.size, self.first = [{}], [-1], [0], [-1]
+        last = 0
+        for at, word in enumerate(words):
+            new, state, last = self._state({}, 0, self.size[last] + 1, at), last, len(self.next) - 1
+            while state >= 0 and word not in self.next[state]:
+                self.next[state][word], state = new, self.link[state]
+            if state < 0:
+                continue
+            to = self.next[state][word]
+            if self.size[to] != self.size[state] + 1:
+                copy = self._state(dict(self.next[to]), self.link[to], self.size[state] + 1, self.first[to])
+                while state >= 0 and self.next[state].get(word) == to:
+                    self.next[state][word], state = copy, self.link[state]
+                self.link[to] = copy
+                to = copy
+            self.link[new] = to
+
+    def _state(self, following: dict[int, int], link: int, size: int, first: int) -> int:
+        self.next.append(following)
+        self.link.append(link)
+        self.size.append(size)
+        self.first.append(first)
+        return len(self.next) - 1
+
+    def matches(self, words: list[int], least: int) -> list[tuple[int, int, int]]:
+        """(begin, begin in the sequence, length) of the parts of ``words`` that occur and lie in no longer such part."""
+        out, state, n = [], 0, 0
+        for end, word in enumerate([*words, None]):
+            if word not in self.next[state]:
+                if n >= least:
+                    out.append((end - n, self.first[state] - n + 1, n))
+                while state and word not in self.next[state]:
+                    state = self.link[state]
+                    n = self.size[state]
+            state, n = (self.next[state][word], n + 1) if word in self.next[state] else (0, 0)
+        return out
+
+
 @dataclass
 class Index:
-    """A block of test items: the vocabulary, and each distinct window as a key, its length and the items it is in."""
+    """A block of test items: the vocabulary, the items' words, and each distinct window as a key, its length and the
+    numbers of the items it is in."""
 
     vocabulary: dict[bytes, int]
+    names: list[str | None]
+    words: list[np.ndarray]
     keys: np.ndarray
     above: np.ndarray
     size: np.ndarray
-    items: list[tuple[str, ...]]
-    first: list[tuple[str | None, int]]
+    items: list[tuple[int, ...]]
     window: int
+    automata: dict[int, Automaton] = field(default_factory=dict)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"automata": {}}
 
     @property
     def least(self) -> int:
         return int(self.size.min()) if len(self.size) else self.window
 
+    def automaton(self, item: int) -> Automaton:
+        if item not in self.automata:
+            if sum(len(self.words[i]) for i in self.automata) + len(self.words[item]) > MOST_STATES:
+                self.automata.clear()
+            self.automata[item] = Automaton(self.words[item].tolist())
+        return self.automata[item]
+
 
 def keyed(ids: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """The next ``depth`` word numbers from each position, as bytes that sort like the numbers."""
@@ -63,11 +125,14 @@ def keyed(ids: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
 
 def index_of(items: list[tuple[object, str | None]], window: int = WINDOW) -> Index:
     vocabulary: dict[bytes, int] = {}
-    at: dict[tuple[int, ...], dict] = defaultdict(dict)
+    at: dict[tuple[int, ...], set[int]] = defaultdict(set)
+    names, words = [], []
     for item, text in items:
         ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
         for k in range(max(1, len(ids) - window + 1) if ids else 0):
-            at[tuple(ids[k : k + window])].setdefault(None if item is None else str(item), k)
+            at[tuple(ids[k : k + window])].add(len(names))
+        names.append(None if item is None else str(item))
+        words.append(np.array(ids, np.uint32))
     windows = list(at)
     size = np.array([len(w) for w in windows], dtype=np.int64)
     grid = np.zeros((len(windows), window), dtype=">u4")
@@ -75,8 +140,7 @@ def index_of(items: list[tuple[object, str | None]], window: int = WINDOW) -> In
     for i, w in enumerate(windows):
         grid[i, : len(w)] = over[i, : len(w)] = w
     as_keys = lambda g: g.view(f"S{4 * window}").reshape(-1) if len(g) else np.zeros(0, f"S{4 * window}")
-    listed = [tuple(sorted(x for x in at[w] if x is not None)) for w in windows]
-    return Index(vocabulary, as_keys(grid), as_keys(over), size, listed, [next(iter(at[w].items())) for w in windows], window)
+    return Index(vocabulary, names, words, as_keys(grid), as_keys(over), size, [tuple(sorted(at[w])) for w in windows], window)
 
 
 def suffix_array(ids: np.ndarray, least: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,8 +181,9 @@ def searched(texts: list[str | None], index: Index) -> list[tuple[int, list[tupl
         own = slice(*np.searchsorted(doc, [d, d + 1]))
         p, w = place[own] - starts[d], win[own]
         out[d][1].extend(merged(list(zip(p.tolist(), (p + index.size[w]).tolist(), strict=True))))
-        out[d][2].extend(sorted({i for k in set(w.tolist()) for i in index.items[k]}))
-        out[d][3].extend(longest(p.tolist(), w.tolist(), index))
+        rows = {i for k in set(w.tolist()) for i in index.items[k]}
+        out[d][2].extend(sorted({index.names[i] for i in rows if index.names[i] is not None}))
+        out[d][3].extend(longest(ids[starts[d] : starts[d] + out[d][0]], p.tolist(), w.tolist(), index))
     return out
 
 
@@ -132,26 +197,25 @@ def merged(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def longest(places: list[int], windows: list[int], index: Index) -> list[dict]:
-    """Windows that follow each other both in the text and in the item make one match; a window stands for its first item."""
-    open_: dict[tuple, dict] = {}
-    out = []
+def longest(words: np.ndarray, places: list[int], windows: list[int], index: Index) -> list[dict]:
+    """The longest matches with each item, by place in the document, given the places where its windows begin."""
+    hit: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for p, w in zip(places, windows, strict=True):
-        item, k = index.first[w]
-        size = int(index.size[w])
-        m = open_.get((item, p - k))
-        if m and p <= m["doc_word"] + m["n_words"] - size + 1:
-            m["n_words"] = p + size - m["doc_word"]
-        else:
-            out.append(m := {"item_id": item, "doc_word": p, "item_word": k, "n_words": size})
-            open_[item, p - k] = m
-    return out
+        for item in index.items[w]:
+            hit[item].append((p, p + int(index.size[w])))
+    out = []
+    for item, stretches in hit.items():
+        least = min(index.window, len(index.words[item]))
+        for a, b in merged(stretches):
+            out += [(a + begin, index.names[item], at, n) for begin, at, n in index.automaton(item).matches(words[a:b].tolist(), least)]
+    out.sort(key=lambda m: (m[0], -m[3], m[1] is None, m[1] or "", m[2]))
+    return [{"item_id": name, "doc_word": begin, "item_word": at, "n_words": n} for begin, name, at, n in out]
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> list[DataFrame]:
-    total = benchmark.agg(F.sum(F.length(text_col))).first()[0] or 0
+    items = own_names(benchmark, [item_col, text_col]).distinct()
+    total = items.agg(F.sum(F.length(text_col))).first()[0] or 0
     n = int(total // block_chars) + 1
-    items = own_names(benchmark, [item_col, text_col])
     return [items if n == 1 else items.where(F.pmod(F.xxhash64(item_col, text_col), F.lit(n)) == i) for i in range(n)]
 
 
