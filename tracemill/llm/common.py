@@ -14,6 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: Largest object, in bytes, that an operator broadcasts; beyond it each operator has another way, stated there.
 BROADCAST_BYTES = 64 << 20
+#: Rows, and bytes about, that a task turns to Python objects at once.
+PART_ROWS, PART_BYTES = 256, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local folder only where the session names none, as in tests."""
+    """The cluster's shared folder; a folder of its own only in local mode, where the session names none, as in tests."""
     found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"a cluster needs {CHECKPOINT_KEY}, a folder that all its machines share")
         found = "file://" + tempfile.mkdtemp(prefix="tracemill-")
         spark.conf.set(CHECKPOINT_KEY, found)
     return found
@@ -47,15 +51,16 @@ def dropped(df: DataFrame) -> None:
 
 
 def map_rows(df: DataFrame, work: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow over column lists; each input batch is cut so that one holds few rows and bounded text."""
+    """mapInArrow over column lists; each input batch is cut so that a part holds few rows and few bytes (a row at least)."""
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def columns() -> Iterator[dict[str, list]]:
             for batch in batches:
-                for start in range(0, batch.num_rows, 256):
-                    part = batch.slice(start, 256)
+                step = max(1, min(PART_ROWS, batch.num_rows * PART_BYTES // max(batch.nbytes, 1)))
+                for start in range(0, batch.num_rows, step):
+                    part = batch.slice(start, step)
                     yield {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}
 
         for out in work(columns()):
