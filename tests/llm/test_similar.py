@@ -60,6 +60,39 @@ def test_links_lose_nothing(spark, bucket_rows):
     assert [roots.get(s, s) for s in signed] == plain_components(signed, fps)
 
 
+@pytest.mark.parametrize("distance", [3, 5])
+def test_cells_lose_no_pair_and_meet_it_once(spark, distance):
+    """One bucket of many fingerprints, dealt to cells: every pair within the distance meets in one cell, not twice."""
+    rng = random.Random(8)
+    fps = sorted({rng.getrandbits(64) for _ in range(300)} | {(b := rng.getrandbits(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(200)} | {b ^ (1 << i) ^ (1 << j) for i in range(20) for j in range(i)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    rows = spark.createDataFrame([(7, s) for s in signed], "key long, fp long")
+    refs = simhash.spread_pivots(rows, 8)
+    cells = {}
+    for r in simhash.in_cells(rows, 50, distance, refs).collect():
+        cells.setdefault(r.key, []).append((r.fp, r.guest))
+    met = {}
+    for own in cells.values():
+        for i, (x, gx) in enumerate(own):
+            for y, gy in own[:i]:
+                if not (gx and gy):
+                    met[frozenset((x, y))] = met.get(frozenset((x, y)), 0) + 1
+    near = {frozenset((signed[i], signed[j])) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= distance}
+    assert len(near) > 100 and near <= met.keys() and set(met.values()) == {1}
+    assert max(sum(x == s for own in cells.values() for x, _ in own) for s in signed[:50]) <= 14
+
+
+def test_the_table_makes_the_pairs():
+    rng = np.random.default_rng(3)
+    fp = rng.integers(0, 1 << 64, 2000, dtype=np.uint64)
+    fp[1000:] = fp[:1000] ^ (np.uint64(1) << rng.integers(0, 64, 1000, dtype=np.uint64))
+    refs, examined = simhash.pivots(32), []
+    i, j = simhash.linked(np.zeros(2000, np.int64), fp, np.full(2000, 2), np.zeros(2000, bool), 3, refs, examined)
+    want = {(a, b) for a in range(2000) for b in np.flatnonzero(np.bitwise_count(fp[a] ^ fp) <= 3).tolist() if a < b}
+    assert {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == want
+    assert sum(examined) < 0.55 * 2000 * 1999 / 2
+
+
 def test_pivot_bounds_hold():
     rng = np.random.default_rng(0)
     fp = rng.integers(0, 1 << 64, 50, dtype=np.uint64)

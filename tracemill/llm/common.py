@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,21 +34,52 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+def _path(spark: SparkSession, path: str) -> tuple:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """Cuts lineage: writes ``df`` to the shared folder and reads it back, so that a lost executor costs no recomputation."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """Cuts lineage: writes ``df`` to the shared folder and reads it back, so that a lost executor costs no recomputation.
+
+    The table lives until it is :func:`dropped`, its :func:`scratch` ends, or the driver does.
+    """
+    spark, path = df.sparkSession, f"{checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    there, files = _path(spark, path)
+    files.deleteOnExit(there)
+    for made in _SCRATCH:
+        made.add(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:
     """Deletes the files behind a table made by :func:`written` that no later plan reads."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = hadoop.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        there, files = _path(df.sparkSession, path)
+        files.delete(there, True)
+
+
+_SCRATCH: list[set[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[set[str]]:
+    """Deletes at its end the tables that were :func:`written` inside, but for those taken out of the set it gives."""
+    _SCRATCH.append(made := set())
+    try:
+        yield made
+    finally:
+        _SCRATCH[:] = [m for m in _SCRATCH if m is not made]
+        for path in made:
+            there, files = _path(spark, path)
+            files.delete(there, True)
+
+
+def path_of(df: DataFrame) -> str:
+    """The folder of a table that was :func:`written`."""
+    return df.inputFiles()[0].rsplit("/", 1)[0]
 
 
 def map_rows(df: DataFrame, work: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: T.StructType | str) -> DataFrame:
