@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,11 +30,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError(f"a cluster needs {CHECKPOINT_KEY}, a folder that all its machines share")
-        found = "file://" + tempfile.mkdtemp(prefix="tracemill-")
-        spark.conf.set(CHECKPOINT_KEY, found)
+        found = _own_folder()
     return found
 
 
+@functools.cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tracemill-")
+
+
 def _path(spark: SparkSession, path: str) -> tuple:
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return there, there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -77,11 +82,6 @@ def scratch(spark: SparkSession) -> Iterator[set[str]]:
             files.delete(there, True)
 
 
-def path_of(df: DataFrame) -> str:
-    """The folder of a table that was :func:`written`."""
-    return df.inputFiles()[0].rsplit("/", 1)[0]
-
-
 def map_rows(df: DataFrame, work: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow over column lists; each input batch is cut so that a part holds few rows and few bytes (a row at least)."""
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema

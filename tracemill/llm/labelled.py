@@ -62,7 +62,8 @@ def fitted(rows: DataFrame, fit: Callable[[Iterator[tuple[str | None, int]]], ob
         yield {"model": [pickle.dumps(fit((t, y) for _, t, y in order))]}
 
     own = rows.select(F.xxhash64("id").alias("id"), "text", "y")
-    return pickle.loads(map_rows(own.repartition(1), work, "model binary").first()[0])
+    made = map_rows(own.repartition(1), work, "model binary").first()
+    return pickle.loads(made[0]) if made else fit(iter([]))  # no task runs where no labelled row is there
 
 
 def platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> tuple[float, float]:

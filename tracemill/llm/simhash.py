@@ -211,28 +211,25 @@ def links(fps: DataFrame, distance: int = 3, n_pivots: int = 32, bucket_rows: in
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, th, component_id) per row; component_id is the smallest id of a row reachable over links."""
+    """(id, fp, th, root, component_id) per row; root names the component, component_id is the smallest id of a row reachable over links."""
     marks = written(fingerprints(docs, shingle_words, id_col, text_col), "fingerprints")
     each = written(marks.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
     roots = written(components(links(each, distance)), "roots")
     named = each.join(roots, each.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # written, so that the joins' sides are plain shuffles, of which a hot component's or fingerprint's part can be split
     best = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    return marks.join(named.join(best, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "th", "component_id")
+    return marks.join(named.join(best, "root").select("fp", "root", "component_id"), "fp").select(id_col, "fp", "th", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle_words: int = 5, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns kept, but of each component only the one with the smallest id, and that once.
-
-    Rows without an id that link to none with one stand for each of their fingerprints.
-    """
+    """The documents, all columns kept, but of each component only the one with the smallest id, and that once; of several
+    texts with this id in one component the one with the least hash. Components that share an id are told apart."""
     return representatives(docs, near_duplicates(docs, shingle_words, distance, id_col, text_col), id_col, text_col)
 
 
 def representatives(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that :func:`one_of_each` keeps, given the components found."""
-    unnamed = F.when(F.col("component_id").isNull(), F.col("fp"))
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component_id", unnamed.alias("fp")).agg(F.min("th").alias("th"))
+    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.first("component_id").alias("component_id"), F.min("th").alias("th"))
     kept = kept.select(F.col("component_id").alias("_id"), F.col("th").alias("_th"))
     own, back = set_aside(docs, ["_id", "_th"])
     marked = own.withColumn("_id", F.col(id_col)).withColumn("_th", F.xxhash64(text_col))
