@@ -11,11 +11,13 @@ columns other than the id and the text are not read. Offsets are code points, en
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import hashlib
 import json
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
@@ -31,8 +33,10 @@ HEX = re.compile(r"[0-9a-f]{16,}+")
 #: Words that begin a pattern, in lower case: keyword, kind of pattern.
 KEYWORDS = {"password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "api_key": "assign", "apikey": "assign", "akia": "access", "ghp_": "github", "gho_": "github", "ghu_": "github", "ghs_": "github", "ghr_": "github", "npm_": "npm", "eyj": "jwt", "-----begin ": "pem"}
 CHECKED = re.compile(r"(gh[pousr]|npm)_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
-JWT = re.compile(r"(eyJ[A-Za-z0-9_-]{8,})\.(eyJ[A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{16,})")
+JWT = re.compile(r"(eyJ[A-Za-z0-9_-]{8,}+)\.(eyJ[A-Za-z0-9_-]{4,}+)\.([A-Za-z0-9_-]{16,}+)")
+JWT_RUN = re.compile(r"eyJ[A-Za-z0-9_-]*+")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+FOOT = re.compile(r"-----END ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,8 +65,24 @@ def jwt_holds(head: str) -> bool:
         return False
 
 
-def tried(kind: str, text: str, at: int) -> tuple[int, bool] | None:
-    """End of the anchored match at ``at`` and whether it holds; None without a match."""
+class Feet:
+    """Where the footers of a text end, by their label; looked up once, at the first header."""
+
+    def __init__(self, text: str):
+        self.text, self.found = text, None
+
+    def after(self, label: str, at: int) -> int | None:
+        if self.found is None:
+            self.found = defaultdict(list)
+            for m in FOOT.finditer(self.text):
+                self.found[m[1]].append(m.end())
+        ends = self.found.get(label, [])
+        k = bisect.bisect_left(ends, at + len(label) + 14)
+        return ends[k] if k < len(ends) else None
+
+
+def tried(kind: str, text: str, at: int, feet: Feet) -> tuple[int, bool] | None:
+    """Up to where the anchored try at ``at`` uses the text, and whether it holds; None where it uses none."""
     if kind == "assign":
         m = ASSIGN.match(text, at)
         return m and (m.end(), m.end(2) - m.start(2) >= 12)
@@ -73,23 +93,23 @@ def tried(kind: str, text: str, at: int) -> tuple[int, bool] | None:
         m = CHECKED.match(text, at)
         return m and (m.end(), base62_crc(m[2][:30]) == m[2][30:])
     if kind == "jwt":
-        m = JWT.match(text, at)
-        return m and (m.end(), jwt_holds(m[1]))
+        if m := JWT.match(text, at):
+            return m.end(), jwt_holds(m[1])
+        run = JWT_RUN.match(text, at)  # a try at a later place of the same run would fail as well
+        return run and (run.end(), False)
     m = PEM.match(text, at)
-    if not m:
-        return None
-    foot = text.find(f"-----END {m[1]}-----", m.end())
-    return foot >= 0 and (foot + len(m[1]) + 14, True) or None
+    end = m and feet.after(m[1], m.end())
+    return end and (end, True)
 
 
 def secrets(text: str | None) -> list[Span]:
     """All spans: per kind leftmost and not overlapping; a match that fails its test still uses up its text."""
     if not text:
         return []
-    found, used = [("hex", m.start(), m.end()) for m in HEX.finditer(text)], {}
+    found, used, feet = [("hex", m.start(), m.end()) for m in HEX.finditer(text)], {}, Feet(text)
     for end, (size, kind) in automaton().iter(text.encode().lower().decode()):
         at = end + 1 - size
-        if at >= used.get(kind, 0) and (hit := tried(kind, text, at)):
+        if at >= used.get(kind, 0) and (hit := tried(kind, text, at, feet)):
             used[kind] = hit[0]
             if hit[1]:
                 found.append((kind, at, hit[0]))
