@@ -47,6 +47,24 @@ def test_tokens_equal_the_tokenizers():
         assert np.frombuffer(packing.encoded(text, known), "<u4").tolist() == known.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    cased, spaced = str(tmp_path / "cased.json"), str(tmp_path / "spaced.json")
+    told = json.load(open(packing.default_tokenizer()))
+    json.dump(told | {"normalizer": None}, open(cased, "w"))
+    told["pre_tokenizer"]["pretokenizers"][1]["add_prefix_space"] = True
+    json.dump(told, open(spaced, "w"))
+    for path in (public_tokenizers.path("byte_bpe_50k.json"), cased, spaced):
+        known = packing.words(path)
+        assert not known.apart
+        for text in ("Hello World  again", " x\ny", "", "É<|endoftext|>"):
+            assert np.frombuffer(packing.encoded(text, known), "<u4").tolist() == known.tokenizer.encode(text, add_special_tokens=False).ids
+    assert packing.words(packing.default_tokenizer()).apart
+
+
 def test_generations_bound_the_memory():
     known = packing.Words(packing.default_tokenizer(), 10)
     for i in range(100):

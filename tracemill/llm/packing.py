@@ -17,6 +17,7 @@ table gives an empty one; further columns are not read.
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -36,6 +37,17 @@ CAPACITY, END_ID = 4096, 1
 KNOWN_WORDS = 500_000
 #: What may be told of a piece, from its ids as little-endian 32-bit bytes: kind of column and value.
 PAYLOAD = {"ids": ("array<int>", lambda own: np.frombuffer(own, "<i4")), "ids_crc32": ("bigint", zlib.crc32)}
+#: The normalizer and splitter that pieces between spaces may be encoded apart under, as tokenizer files say them.
+BY_PIECES = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
 RUN = np.dtype([("length", "i8"), ("rank", "i8"), ("per", "i8"), ("sequence", "i8"), ("offset", "i8")])
 
 
@@ -44,11 +56,15 @@ class Words(dict):
 
     Two generations bound the memory: when the young one is full it becomes the old one, from which words in use return.
     A piece of Latin letters goes straight to the tokenizer's model, without a full stop or comma at its end, which the
-    splitter parts from it anyway; any other piece goes through the whole tokenizer.
+    splitter parts from it anyway; any other piece goes through the whole tokenizer. All this holds under the normalizer and
+    splitter in :data:`BY_PIECES`; ``apart`` tells whether the tokenizer has them.
     """
 
     def __init__(self, path: str, most: int):
         self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        self.apart = (told["normalizer"], told["pre_tokenizer"]) == BY_PIECES and all("<" in t["content"] for t in told["added_tokens"])
         self.model, level = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [chr(c) for c in range(256) if chr(c).isalpha() and chr(c) == chr(c).lower()]
         same = [c for c in letters if c not in "ªº"]
@@ -80,12 +96,15 @@ def words(path: str, most: int = KNOWN_WORDS) -> Words:
 
 
 def encoded(text: str | None, known: Words) -> bytes:
-    """The ids of the whole text. The tokenizer's normalizer and splitter never look across a space or line end.
+    """The ids of the whole text.
 
-    Texts of the first 256 characters are lowered first, as the normalizer would, so that fewer pieces differ; not so with
+    A tokenizer whose normalizer and splitter never look across a space or line end encodes the pieces between, any other
+    one the text as a whole. Texts of the first 256 characters are lowered first, as the normalizer would, so that fewer pieces differ; not so with
     a ``<``, as special tokens are told by their case.
     """
     text = text or ""
+    if not known.apart:
+        return array("I", known.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
     if "<" not in text:
         try:
             text.encode("latin-1")
