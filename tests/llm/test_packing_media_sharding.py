@@ -162,6 +162,63 @@ def test_shards(spark, documents, tables):
     assert sharding.op6_sharding(spark, tables(documents=documents(["a", "a", "b"]))).count() == 3
 
 
+def test_few_groups_are_cut_where_all_rows_are_linked(spark, documents):
+    texts = ["hot"] * 1200 + [f"pair {i % 500}" for i in range(1800)]
+    found = sharding.cut_groups(sharding.shard_documents(documents(texts))).first()
+    assert found.groups == 501 and found.cut_groups <= 15 and found.cut_rows <= 1200 + 15 * 4
+
+
+def least_cut(n, edges, shards):
+    """The fewest cut edges over all ways to put n rows into shards of equal size."""
+    import itertools
+
+    best = len(edges)
+    for split in itertools.combinations(range(n), n // shards):
+        if shards == 2:
+            best = min(best, sum((a in split) != (b in split) for a, b in edges))
+    return best
+
+
+GRAPHS = {
+    "two cliques and a bridge": [(a, b) for part in (range(5), range(5, 10)) for a in part for b in part if a < b] + [(4, 5)],
+    "chain": [(i, i + 1) for i in range(9)],
+    "ring": [(i, (i + 1) % 10) for i in range(10)],
+    "two stars": [(0, i) for i in range(1, 5)] + [(5, i) for i in range(6, 10)],
+    "pairs": [(2 * i, 2 * i + 1) for i in range(5)],
+    "no edge": [],
+}
+
+
+@pytest.mark.parametrize("name", GRAPHS)
+def test_cut_edges_against_the_least(spark, name):
+    """Ordinary edges: sizes are even, and the cut is within half of the edges from the least one to all of them."""
+    edges = GRAPHS[name]
+    rows = sharding.written(spark.range(10).select("id"), "rows")
+    links = spark.createDataFrame([(int(x), f"{a}-{b}") for a, b in edges for x in (a, b)], "id long, grp string")
+    shard = {r.id: r.shard for r in sharding.shard_rows(rows, links, shards=2).collect()}
+    assert sorted(list(shard.values()).count(s) for s in (0, 1)) == [5, 5]
+    cut, least = sum(shard[a] != shard[b] for a, b in edges), least_cut(10, edges, 2)
+    print(name, cut, least, len(edges))
+    assert least <= cut <= (least + len(edges)) / 2
+
+
+def test_overlapping_groups_stay_together(spark):
+    """Groups that share rows in chains: rows end mostly beside those they are linked with."""
+    rows = sharding.written(spark.range(800).select("id"), "rows")
+    pairs = [(100 * k + i, f"{k}/{i // 10 + j}") for k in range(8) for i in range(100) for j in (0, 1)]
+    links = spark.createDataFrame(pairs, "id long, grp string")
+    shard = {r.id: r.shard for r in sharding.shard_rows(rows, links, shards=4).collect()}
+    assert sorted(list(shard.values()).count(s) for s in range(4)) == [200] * 4
+    members = {}
+    for i, g in pairs:
+        members.setdefault(g, []).append(shard[i])
+    outside = lambda s: sum(len(m) - max(m.count(x) for x in set(m)) for m in s)
+    rng = random.Random(1)
+    drawn = [[rng.randrange(4) for _ in m] for m in members.values()]
+    print(outside(members.values()), outside(drawn))
+    assert outside(members.values()) < 0.5 * outside(drawn)
+
+
 def test_grants_keep_the_capacity():
     rng = np.random.default_rng(1)
     for _ in range(50):

@@ -1,15 +1,18 @@
 """Sharding by balanced label propagation.
 
 Documents that belong together are given as links (row, group): a group is a hyperedge, and an ordinary edge is a group
-of two. Every linked row starts in a shard by hash. Each round counts, per group, its rows in each shard, adds up what the
+of two. Every linked row starts in the shard of its home, the least hash of the groups within a few links of it, so that most
+neighbours start together. Each round counts, per group, its rows in each shard, adds up what the
 groups of a row say, and lets the row ask for the shard where most of its neighbours are; only open shards can be asked
 for, and rounds alternate between moves up and moves down, so that two rows never swap for ever. How many of those that
 ask may move follows from the capacities: a table of counts by origin, target and gain goes to the driver (a few thousand
 rows at most), which grants a share of each cell, highest gain first. All else are Spark joins and sums; a group with a
 third of all rows is summed on the map side and spreads over as many shards as it needs.
 
-Rows without links then fill the shards up, and a distributed ranking along the shards gives slots; its cuts make the
-numbers of rows of any two shards at most one apart (the ``rows`` law), moving only rows at the borders.
+Rows without links then fill the shards up, and a distributed ranking along the shards, and in them along the homes,
+gives slots; its cuts make the numbers of rows of any two shards at most one apart (the ``rows`` law). A cut parts the rows
+of one group at most, so of groups that share no rows no more are cut than there are cuts, and a group that needs several
+shards takes neighbouring ones.
 
 Defined results: a null text is empty; repeated rows are sharded each; null ids are ids like any other; an empty table
 gives an empty one; further columns are not read.
@@ -62,17 +65,30 @@ def granted(asked: np.ndarray, load: np.ndarray, capacity: float, rounds: int =
         safe.update(full)
 
 
-def propagated(links: DataFrame, shards: int, capacity: float, rounds: int = 12, slack: float = 0.02) -> DataFrame:
-    """(id, shard) for every id of ``links(id, grp)``, each in few shards as its groups allow within the capacity."""
-    spark = links.sparkSession
+def homes(links: DataFrame, reach: int) -> DataFrame:
+    """(id, home): the least hash of the groups that ``reach`` links lead to; written. Groups that share no rows need none."""
+    found = written(links.groupBy("id").agg(F.min(F.xxhash64("grp")).alias("home"), F.count("*").alias("groups")), "homes")
+    several = (found.agg(F.max("groups")).first()[0] or 0) > 1
+    for _ in range(reach if several else 0):
+        least = written(links.join(found, "id").groupBy("grp").agg(F.min("home").alias("home")), "least")
+        after = written(links.join(least, "grp").groupBy("id").agg(F.min("home").alias("home")), "homes")
+        for old in (found, least):
+            dropped(old)
+        found = after
+    return found.select("id", "home")
+
+
+def propagated(links: DataFrame, shards: int, capacity: float, rounds: int = 12, slack: float = 0.1, reach: int = 2) -> DataFrame:
+    """(id, shard, home) for every id of ``links(id, grp)``, with few shards per group. A shard may hold ``slack`` more than
+    the capacity while rows move, as the ranking evens it out; one that starts with more takes none in."""
     links = links.distinct()
-    labels = written(links.select("id").distinct().withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")), "labels")
+    labels = written(homes(links, reach).withColumn("shard", F.pmod("home", F.lit(shards)).cast("int")).select("id", "shard", "home"), "labels")
     quiet = 0
     for step in range(rounds):
         load = np.zeros(shards)
         for s, n in labels.groupBy("shard").count().collect():
             load[s] = n
-        limit = max(capacity * (1 - slack), load.max() if step == 0 and load.sum() > capacity * shards * (1 - slack) else 0)
+        limit = max(capacity * (1 + slack), capacity + 1)
         open_ = F.array(*[F.lit(bool(x < limit)) for x in load])
         votes = links.join(labels, "id").groupBy("grp").agg(*[F.sum((F.col("shard") == s).cast("long")).alias(f"v{s}") for s in range(shards)])
         votes = written(votes, "votes")
@@ -81,23 +97,28 @@ def propagated(links: DataFrame, shards: int, capacity: float, rounds: int = 12,
         way = F.lit(1 if step % 2 == 0 else -1)
         # the best open shard in this round's direction: most votes, then the lowest number
         ranked = F.transform("v", lambda n, s: F.struct(F.when(F.element_at(open_, s + 1) & ((s - F.col("shard")) * way > 0), n).otherwise(F.lit(-1)).alias("n"), (-s).alias("s")))
-        wish = state.select("id", "shard", F.array_max(ranked).alias("best"), (F.element_at("v", F.col("shard") + 1) - F.col("own")).alias("here"))
+        wish = state.select("id", "shard", "home", F.array_max(ranked).alias("best"), (F.element_at("v", F.col("shard") + 1) - F.col("own")).alias("here"))
         gain = F.col("best.n") - F.col("here")
-        wish = wish.select("id", "shard", (-F.col("best.s")).cast("int").alias("target"), F.when(gain > 0, F.least(F.floor(F.log2(gain.cast("double"))), F.lit(GAINS - 1)).cast("int")).alias("gain"))
+        wish = wish.select("id", "shard", "home", (-F.col("best.s")).cast("int").alias("target"), F.when(gain > 0, F.least(F.floor(F.log2(gain.cast("double"))), F.lit(GAINS - 1)).cast("int")).alias("gain"))
         wish = written(wish, "wishes")
         asked = np.zeros((shards, shards, GAINS))
         for a, b, g, n in wish.where("gain is not null").groupBy("shard", "target", "gain").count().collect():
             asked[a, b, g] = n
         quiet = quiet + 1 if not asked.sum() else 0
-        if quiet == 2:
-            break
+        if not asked.sum():
+            dropped(votes)
+            dropped(wish)
+            if quiet == 2:
+                break
+            continue
         share = granted(asked, load, limit)
         flat = F.array(*[F.lit(float(x)) for x in share.ravel()])  # shards x shards x GAINS numbers
         cell = (F.col("shard") * shards + F.col("target")) * GAINS + F.col("gain")
         draw = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(1 << 30)) / float(1 << 30)
         goes = F.coalesce((F.col("gain").isNotNull()) & (draw < F.element_at(flat, cell.cast("int") + 1)), F.lit(False))
-        after = written(wish.select("id", F.when(goes, F.col("target")).otherwise(F.col("shard")).alias("shard")), "labels")
-        dropped(labels)
+        after = written(wish.select("id", F.when(goes, F.col("target")).otherwise(F.col("shard")).alias("shard"), "home"), "labels")
+        for old in (labels, votes, wish):
+            dropped(old)
         labels = after
     return labels
 
@@ -138,10 +159,10 @@ def shard_rows(rows: DataFrame, links: DataFrame, shards: int = 16, rounds: int
     placed = rows.join(labels.withColumnRenamed("shard", "_shard"), "id", "left")
     # rows without links lie at both ends of a shard, where the cuts fall
     zone = F.when(F.col("_shard").isNotNull(), 1).otherwise(F.pmod(F.xxhash64("id", F.lit(-2)), F.lit(2)).cast("int") * 2)
-    placed = placed.select(*rows.columns, F.coalesce("_shard", free).alias("_shard"), zone.alias("_zone"))
-    found = ranked(placed, ["_shard", "_zone", "grp", "id"])
+    placed = placed.select(*rows.columns, F.coalesce("_shard", free).alias("_shard"), zone.alias("_zone"), "home")
+    found = ranked(placed, ["_shard", "_zone", "home", "id"])
     shard = F.expr(f"position * {shards} div {max(n, 1)}").cast("int")
-    return found.withColumn("shard", shard).withColumn("slot", F.col("position") - F.ceil(F.col("shard") * F.lit(n) / shards)).drop("_shard", "_zone", "position")
+    return found.withColumn("shard", shard).withColumn("slot", F.col("position") - F.ceil(F.col("shard") * F.lit(n) / shards)).drop("_shard", "_zone", "home", "position")
 
 
 def cut_groups(sharded: DataFrame) -> DataFrame:
