@@ -23,6 +23,7 @@ import random
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,14 +50,11 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Januar|Februar|März|Mai|Juni|Juli|Oktober|Dezember|janvier|février|mars|avril|juin|juillet|août|septembre|octobre|novembre|décembre|enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|diciembre"
 #: Generators over the whole text: kind, pattern, words of which the text has to hold one, in lower case, for a try.
 GENERATORS = (
-    ("birth_date", re.compile(r"(?<![0-9])(?:[0-9]{1,2}([./-])[0-9]{1,2}\1(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}([./-])[0-9]{1,2}\2[0-9]{1,2})(?![0-9])"), ("19", "20")),
-    ("birth_date", re.compile(rf"(?<![0-9])[0-9]{{1,2}}\.? (?:de )?(?:{MONTHS}) (?:de )?(?:19|20)[0-9]{{2}}(?![0-9])"), ("19", "20")),
-    ("birth_date", re.compile(rf"\b(?:{MONTHS}) [0-9]{{1,2}}(?:st|nd|rd|th)?,? (?:19|20)[0-9]{{2}}(?![0-9])"), ("19", "20")),
-    ("address", re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[A-Za-z]? (?:[A-Z][\w'-]{1,20} ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd)\b"), ("street", " st", " ave", "road", " rd", " lane", " ln", " dr", "boulevard", "blvd")),
+    ("address", re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[A-Za-z]? (?:[A-Z][\w'-]{1,20} ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd)\b"), ("street", "avenue", "road", " lane", " drive", "boulevard", "blvd", *(f" {w}{end}" for w in ("st", "ave", "rd", "ln", "dr") for end in " .,;\n"))),
     ("address", re.compile(r"\b[A-ZÄÖÜ][\wäöüß-]{1,30}(?:straße|strasse|str\.|weg|platz|gasse|allee) [0-9]{1,4}[a-z]?\b"), ("straße", "strasse", "str.", "weg ", "platz ", "gasse ", "allee ")),
     ("address", re.compile(r"(?<![0-9A-Za-z])[0-9]{1,4}(?: bis)?,? (?:rue|avenue|boulevard|place|quai) (?:(?:de|du|des|la|le|les|l'|d') ?){0,3}[A-ZÀ-Ý][\w'-]{1,30}"), ("rue ", "avenue ", "boulevard ", "place ", "quai ")),
     ("address", re.compile(r"\b(?:Calle|Avenida|Plaza|Paseo) (?:(?:de|del|la|el|los|las) ){0,3}[A-ZÁ-Ú][\w'-]{1,30},? [0-9]{1,4}\b"), ("calle ", "avenida ", "plaza ", "paseo ")),
-    ("name", re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Herrn|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra)\.? (?:[A-ZÀ-Ý][\w'-]{1,20})(?: [A-ZÀ-Ý][\w'-]{1,20}){0,2}"), ("mr", "ms", "dr", "prof", "herr", "frau", "monsieur", "madame", "mme", "señor", "sra")),
+    ("name", re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Herrn|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra)\.? (?:[A-ZÀ-Ý][\w'-]{1,20})(?: [A-ZÀ-Ý][\w'-]{1,20}){0,2}"), (*(f" {w}{end}" for w in ("mr", "mrs", "ms", "dr", "prof", "mme", "sra") for end in " ."), "herr", "frau", "monsieur", "madame", "señor")),
     ("name", re.compile(r"\b(?:[Mm]y name is|[Ii]ch heiße|[Jj]e m'appelle|[Mm]e llamo) (?:[A-ZÀ-Ý][\w'-]{1,20})(?: [A-ZÀ-Ý][\w'-]{1,20}){0,2}"), ("my name is", "ich heiße", "je m'appelle", "me llamo")),
 )
 #: Generators tried inside the digit clusters only.
@@ -67,6 +65,12 @@ NUMERIC = (
     ("national_id", re.compile(r"(?<![0-9])[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![0-9])")),
     ("national_id", re.compile(r"(?<![0-9])[12] ?[0-9]{2} ?[01][0-9] ?[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{2}(?![0-9])")),
 )
+#: Dates: tried at a cluster's begin, or at the name of a month before it.
+DATES = (
+    re.compile(r"(?:[0-9]{1,2}([./-])[0-9]{1,2}\1(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}([./-])[0-9]{1,2}\2[0-9]{1,2})(?![0-9])"),
+    re.compile(rf"[0-9]{{1,2}}\.? (?:de )?(?:{MONTHS}) (?:de )?(?:19|20)[0-9]{{2}}(?![0-9])"),
+)
+MONTH_FIRST = re.compile(rf"\b(?:{MONTHS}) [0-9]{{1,2}}(?:st|nd|rd|th)?,? (?:19|20)[0-9]{{2}}(?![0-9])")
 #: National ids with letters: tried at a cluster's begin, or two letters before it.
 NINO = re.compile(r"(?<![A-Za-z0-9])[A-CEGHJ-PR-TW-Z]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D](?![A-Za-z0-9])")
 DNI = re.compile(r"(?<![A-Za-z0-9])[0-9]{8}-?[A-Z](?![A-Za-z0-9])")
@@ -120,15 +124,34 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+@functools.cache
+def automaton() -> ahocorasick.Automaton:
+    """The words that a text has to hold for a try, with the numbers of their generators; none stands for AT."""
+    numbers: dict[str, tuple[int, ...]] = dict.fromkeys((" at ", "[at]", "(at)", "{at}", " arroba "), ())
+    for i, (_, _, needs) in enumerate(GENERATORS):
+        for n in needs:
+            numbers[n] = (*numbers.get(n, ()), i)
+    found = ahocorasick.Automaton()
+    for word, own in numbers.items():
+        found.add_word(word, (len(word), own))
+    found.make_automaton()
+    return found
+
+
 def candidates(text: str) -> list[Span]:
     """Overlapping proposals of the further kinds."""
-    lower = text.lower()
-    found = {(kind, m.start(), m.end()) for kind, pattern, needs in GENERATORS if any(n in lower for n in needs) for m in pattern.finditer(text)}
-    for m in AT.finditer(text) if " at " in lower or "at]" in lower or "at)" in lower or "at}" in lower or " arroba " in lower else ():
-        before, after = AT_LOCAL.search(text, max(0, m.start() - 40), m.start()), AT_DOMAIN.match(text, m.end())
+    parted, tried = [], set()
+    for end, (size, numbers) in automaton().iter(f" {text.encode().lower().decode()} "):
+        tried.update(numbers)
+        if not numbers:
+            parted.append(end - size)  # the automaton reads one space more before the text
+    found = {(kind, m.start(), m.end()) for n in tried for kind, pattern, _ in [GENERATORS[n]] for m in pattern.finditer(text)}
+    for at in parted:
+        m = (AT.match(text, at - 1) if text[at - 1 : at] == " " else None) or AT.match(text, max(at, 0))
+        before, after = m and AT_LOCAL.search(text, max(0, m.start() - 40), m.start()), m and AT_DOMAIN.match(text, m.end())
         if before and after:
             found.add(("email_spelt", before.start(), after.end()))
-    if "::" in text or lower.count(":") >= 7:
+    if "::" in text or text.count(":") >= 7:
         found |= {("ipv6", m.start(), m.end()) for m in IPV6.finditer(text) if "::" in m[0] or m[0].count(":") == 7}
     for c in CLUSTER.finditer(text):
         start = c.start()
@@ -136,6 +159,10 @@ def candidates(text: str) -> list[Span]:
             open_ = start - (text[start - 1 : start] == "(")
             found |= {(kind, m.start(), m.end()) for kind, pattern in NUMERIC for m in pattern.finditer(text, open_, c.end())}
             found |= {("national_id", m.start(), m.end()) for m in [DNI.match(text, start)] if m}
+        if c.end() - start <= 12:  # a day, or a date in figures
+            found |= {("birth_date", m.start(), m.end()) for pattern in DATES for m in [pattern.match(text, start)] if m}
+            if text[start - 1 : start] == " " and (m := MONTH_FIRST.search(text, max(0, start - 11), c.end() + 12)):
+                found.add(("birth_date", m.start(), m.end()))
         for at in (start - 2, start - 3):
             if at >= 0 and text[at : at + 2].isupper():
                 found |= {(kind, m.start(), m.end()) for kind, pattern in (("iban", IBAN), ("national_id", NINO)) for m in [pattern.match(text, at)] if m}
