@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.conftest import comparable
-from tracemill.plans import catalogue, models  # noqa: F401
+from tracemill.plans import catalogue, files, literals, models  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.SQL))

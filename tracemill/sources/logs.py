@@ -6,7 +6,7 @@ All readers give the long event table ``(case_id, pos, activity, ts, resource, a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from xml.sax.saxutils import quoteattr
+from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +40,10 @@ def read_xes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, case: str = "case:concept:name", activity: str = "concept:name", time: str | None = "time:timestamp", resource: str | None = "org:resource", separator: str = ",") -> DataFrame:
-    """Events keep the order of the file, also where the rows of cases are interleaved."""
-    rows = spark.read.option("header", True).option("sep", separator).csv(path).withColumn("_n", F.monotonically_increasing_id())
+    """Events keep the order of the file, also where the rows of cases are interleaved: a position is the file, where in it
+    the block begins, and the row's number, so it doesn't hang on which task reads which block."""
+    rows = spark.read.option("header", True).option("sep", separator).csv(path)
+    rows = rows.withColumn("_n", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
     c = lambda n: F.col(f"`{n}`") if n and n in rows.columns else F.lit(None).cast("string")
     others = [n for n in rows.columns if n not in (case, activity, time, resource, "_n")]
     attributes = F.create_map(*[x for n in others for x in (F.lit(n), c(n))]) if others else F.lit(None).cast("map<string,string>")
@@ -56,9 +58,10 @@ def read_ocel(spark: SparkSession, path: str, object_type: str) -> DataFrame:
     events = spark.read.schema(OCEL_SCHEMA).option("rowTag", "event").format("xml").load(path)
     objects = spark.read.schema("_id string, _type string").option("rowTag", "object").format("xml").load(path)
     own = objects.where(F.col("_type") == object_type).select(F.col("_id").alias("case_id"))
-    each = events.select("_id", "_type", "_time", F.explode("objects.relationship").alias("r"), F.monotonically_increasing_id().alias("pos"))
-    each = each.select(F.col("r.`_object-id`").alias("case_id"), "pos", F.col("_type").alias("activity"), F.try_to_timestamp("_time").alias("ts")).distinct()
-    return each.join(own, "case_id", "left_semi").select("case_id", "pos", "activity", "ts", F.lit(None).cast("string").alias("resource"), F.lit(None).cast("map<string,string>").alias("attributes"), F.lit(None).cast("map<string,string>").alias("case_attributes"))
+    told = F.transform(F.coalesce("attributes.attribute", F.array()), lambda a: F.struct(a["_name"].alias("key"), a["_VALUE"].alias("value")))
+    each = events.select(F.array_distinct("objects.relationship.`_object-id`").alias("cases"), F.monotonically_increasing_id().alias("pos"), F.col("_type").alias("activity"), F.try_to_timestamp("_time").alias("ts"), told.alias("attributes"))
+    each = each.withColumn("case_id", F.explode("cases"))
+    return each.join(own, "case_id", "left_semi").select("case_id", "pos", "activity", "ts", F.lit(None).cast("string").alias("resource"), F.map_from_entries("attributes").alias("attributes"), F.lit(None).cast("map<string,string>").alias("case_attributes"))
 
 
 def object_types(spark: SparkSession, path: str) -> DataFrame:
@@ -78,45 +81,76 @@ def log_of(events: DataFrame) -> DataFrame:
     return rows.select("case_id", F.col("e.activity").alias("trace"))
 
 
-def write_xes(log: DataFrame, path: str) -> None:
-    """A folder of parts, each a whole log; traces only."""
+def cases(rows: DataFrame) -> DataFrame:
+    """Of a log (case_id, trace) or of events, one row per case: case_id, case_attributes, events in order."""
+    if "trace" in rows.columns:
+        each = F.transform("trace", lambda a, i: F.struct(i.cast("int").alias("at"), a.alias("activity"), F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("resource"), F.lit(None).cast("map<string,string>").alias("attributes")))
+        return rows.select(F.col("case_id").cast("string").alias("case_id"), F.lit(None).cast("map<string,string>").alias("case_attributes"), each.alias("events"))
+    own = F.when(F.col("pos").isNotNull(), F.struct("pos", "activity", "ts", "resource", F.map_entries("attributes").alias("attributes")))
+    own = rows.groupBy(F.col("case_id").cast("string").alias("case_id")).agg(F.array_sort(F.collect_list(own)).alias("e"), F.max(F.map_entries("case_attributes")).alias("c"))
+    each = F.transform("e", lambda x, i: F.struct(i.cast("int").alias("at"), x["activity"].alias("activity"), x["ts"].cast("timestamp").alias("ts"), x["resource"].alias("resource"), F.map_from_entries(x["attributes"]).alias("attributes")))
+    return own.select("case_id", F.map_from_entries("c").alias("case_attributes"), each.alias("events"))
+
+
+def _parts(rows: DataFrame, head: list[str], told, tail: list[str], path: str, compression: str | None) -> None:
+    """A folder of text files, each a whole document: ``told`` gives the lines of a case."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ['<?xml version="1.0" encoding="UTF-8"?>', '<log xes.version="1.0">']
-        yield pa.RecordBatch.from_pydict({"value": rows})
+        yield pa.RecordBatch.from_pydict({"value": head})
         for b in batches:
-            out = []
-            for case, trace in zip(*(b.column(n).to_pylist() for n in ("case_id", "trace")), strict=True):
-                events = "".join(f'<event><string key="concept:name" value={quoteattr(a)}/></event>' for a in trace)
-                out.append(f'<trace><string key="concept:name" value={quoteattr(str(case))}/>{events}</trace>')
-            yield pa.RecordBatch.from_pydict({"value": out})
-        yield pa.RecordBatch.from_pydict({"value": ["</log>"]})
-
-    log.select("case_id", "trace").mapInArrow(parts, T.StructType([T.StructField("value", T.StringType())])).write.text(path)
-
-
-def write_csv(log: DataFrame, path: str) -> None:
-    """One row per event; events of a case stay together and in order."""
-    log.select("case_id", F.posexplode("trace").alias("pos", "activity")).write.option("header", True).csv(path)
-
-
-def write_ocel(log: DataFrame, path: str, object_type: str = "case") -> None:
-    """A single file, written by one task: objects have to come before events. For logs that fit into one."""
-    import xml.etree.ElementTree as ET
-
-    root = ET.Element("log")
-    ET.SubElement(ET.SubElement(root, "object-types"), "object-type", name=object_type)
-    kinds, objects, events = (ET.SubElement(root, n) for n in ("event-types", "objects", "events"))
-    seen, n = set(), 0
-    for row in log.select("case_id", "trace").toLocalIterator():
-        ET.SubElement(objects, "object", id=str(row.case_id), type=object_type)
-        for a in row.trace:
-            if a not in seen:
-                seen.add(a)
-                ET.SubElement(kinds, "event-type", name=a)
-            e = ET.SubElement(events, "event", id=f"e{n}", type=a, time=f"1970-01-01T{n // 3600 % 24:02d}:{n // 60 % 60:02d}:{n % 60:02d}Z")
-            ET.SubElement(ET.SubElement(e, "objects"), "relationship", {"object-id": str(row.case_id), "qualifier": "case"})
-            n += 1
-    ET.indent(root)
-    with open(path, "w") as f:
-        f.write(ET.tostring(root, encoding="unicode"))
+            for start in range(0, b.num_rows, 256):
+                found = [x for row in b.slice(start, 256).to_pylist() for x in told(row)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.string())], names=["value"])
+        yield pa.RecordBatch.from_pydict({"value": tail})
+
+    rows.mapInArrow(parts, T.StructType([T.StructField("value", T.StringType())])).write.text(path, compression=compression)
+
+
+def _said(kind: str, key: str, value: str) -> str:
+    return f"<{kind} key={quoteattr(key)} value={quoteattr(value)}/>"
+
+
+def _time(ts) -> str:
+    return ts.isoformat() if ts.tzinfo else f"{ts.isoformat()}+00:00"
+
+
+def write_xes(rows: DataFrame, path: str, compression: str | None = None) -> None:
+    """Of a log or of events: a folder of parts, each a whole log, with times, resources and attributes as far as known.
+
+    Attributes are written as strings, since the table holds them so; those of a case beside its name.
+    """
+
+    def told(row: dict) -> list[str]:
+        case = dict(row["case_attributes"] or {})
+        out = [_said("string", "concept:name", case.pop("concept:name", row["case_id"])), *(_said("string", k, v) for k, v in case.items() if v is not None)]
+        for e in row["events"]:
+            own = [("string", "concept:name", e["activity"]), ("date", "time:timestamp", e["ts"] and _time(e["ts"])), ("string", "org:resource", e["resource"])]
+            own += [("string", k, v) for k, v in e["attributes"] or [] if k not in ("concept:name", "time:timestamp", "org:resource")]
+            out.append(f"<event>{''.join(_said(*x) for x in own if x[2] is not None)}</event>")
+        return [f"<trace>{''.join(out)}</trace>"]
+
+    _parts(cases(rows), ['<?xml version="1.0" encoding="UTF-8"?>', '<log xes.version="1.0">'], told, ["</log>"], path, compression)
+
+
+def write_csv(rows: DataFrame, path: str, attributes: list[str] | None = None) -> None:
+    """Of a log or of events: one row per event, those of a case together and in order, with times and resources as far as
+    known, and a column for each of the ``attributes`` named."""
+    each = cases(rows).select("case_id", F.explode("events").alias("e")).repartition("case_id").sortWithinPartitions("case_id", "e.at")
+    others = [F.element_at("e.attributes", F.lit(a)).alias(a) for a in attributes or []]
+    each.select(F.col("case_id").alias("case:concept:name"), F.col("e.activity").alias("concept:name"), F.date_format("e.ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("time:timestamp"), F.col("e.resource").alias("org:resource"), *others).write.option("header", True).csv(path)
+
+
+def write_ocel(rows: DataFrame, path: str, object_type: str = "case") -> None:
+    """Of a log or of events: a folder of parts, each a whole log of objects, one per case, and events, with times and
+    attributes as far as known."""
+
+    def told(row: dict) -> list[str]:
+        case = quoteattr(row["case_id"])
+        out = [f"<objects><object id={case} type={quoteattr(object_type)}/></objects><events>"]
+        for e in row["events"]:
+            time = f" time={quoteattr(_time(e['ts']))}" if e["ts"] else ""
+            own = "".join(f'<attribute name={quoteattr(k)} type="string">{escape(v)}</attribute>' for k, v in e["attributes"] or [] if v is not None)
+            out.append(f"<event id={quoteattr(row['case_id'] + ':' + str(e['at']))} type={quoteattr(e['activity'] or '')}{time}><attributes>{own}</attributes><objects><relationship object-id={case} qualifier={quoteattr(object_type)}/></objects></event>")
+        return ["".join(out) + "</events>"]
+
+    _parts(cases(rows), ["<log>", f"<object-types><object-type name={quoteattr(object_type)}/></object-types>"], told, ["</log>"], path, None)
