@@ -181,12 +181,35 @@ def test_association(spark):
 
     pairs = [(abs(v - w), levenshtein(tuple(t), tuple(u)) / max(len(t), len(u))) for t, v in own for u, w in own]
     assert value(association.numeric(df, "v")) == pytest.approx(pd.DataFrame(pairs).corr().iloc[0, 1])
-    assert association.all_numeric(df, ["v", "case_id"]).count() == 2
+    assert {r.attribute: r.association for r in association.all_attributes(df).collect()} == {"v": pytest.approx(value(association.numeric(df, "v"))), "k": pytest.approx(value(association.categorical(df, "k")))}
     assert -1e-9 <= value(association.categorical(df.where("k is not null"), "k", 40, 30)) <= 2
     same = df.where("trace = array('a')")
     assert value(association.numeric(same, "v")) is None
 
 
+def test_resampled_sums_are_those_of_the_draws(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from tracemill.models.kernels import levenshtein
+
+    rng = random.Random(2)
+    cases = [(i, [rng.choice("abc") for _ in range(rng.randint(0, 4))], rng.choice(["x", "y", "z", None])) for i in range(60)]
+    df = spark.createDataFrame(cases, "case_id long, trace array<string>, k string")
+    monkeypatch.setattr(association, "DRAWS_BYTES", 8 * 40 * 7)  # several passes
+    masses, every, equal = association.resampled(df, "k", 20, 30, 4)
+    kinds = sorted({("".join(chr(33 + "abc".index(a)) for a in t), v) for _, t, v in cases if v})
+    counts = np.array([sum((("".join(chr(33 + "abc".index(a)) for a in t), v) == kind) for _, t, v in cases) for kind in kinds])
+    draw, step = np.random.default_rng(4), max(1, 8 * 40 * 7 // (8 * len(kinds)))
+    drawn = np.concatenate([draw.multinomial(30, counts / counts.sum(), size=min(step, 20 - at)) for at in range(0, 20, step)])
+    d = np.array([[levenshtein(tuple(s), tuple(t)) / max(len(s), len(t), 1) for t, _ in kinds] for s, _ in kinds])
+    same = np.array([[v == w for _, w in kinds] for _, v in kinds])
+    for w, m, x, y in zip(drawn, masses, every, equal, strict=True):
+        assert m.tolist() == [w[[v == u for _, v in kinds]].sum() for u in "xyz"]
+        assert x == pytest.approx(w @ d @ w) and y == pytest.approx(w @ (d * same) @ w)
+
+
 def test_hypothesis_tests(spark, three):
     far = to_slang(spark, {("c", "c", "c"): Fraction(1)}).withColumn("cnt", F.lit(50).cast("long")).withColumn("n", F.lit(50).cast("long"))
     many = three.withColumn("cnt", F.col("cnt") * 20).withColumn("n", F.col("n") * 20)

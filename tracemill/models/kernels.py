@@ -5,11 +5,12 @@ from __future__ import annotations
 import heapq
 import itertools
 import random
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
 
-from .semantics import Semantics, explored, non_decreasing_livelock
+from .semantics import Semantics, any_traces, non_decreasing_livelock
 
 #: Costs of the moves of an alignment.
 LOG_MOVE, MODEL_MOVE, SILENT_MOVE, SYNCHRONOUS_MOVE = 10_000, 10_000, 1, 0
@@ -101,11 +102,19 @@ def explain(model: Semantics, trace: list[str], balance: Fraction = Fraction(1),
     raise NoAlignment("the model has no trace")
 
 
-def walk(model: Semantics, rng: random.Random, check_every: int = 1000) -> list[str] | None:
+def walk(model: Semantics, rng: random.Random) -> list[str] | None:
     """One random trace; a run that gets into a livelock begins again. None if every run would."""
+    return step_out(model, rng) if any_traces(model) else None
+
+
+def walks(model: Semantics, n: int, rng: random.Random) -> dict[tuple[str, ...], int] | None:
+    """How often each trace comes in n random ones; the model is explored once. None if there is no trace."""
+    return dict(Counter(tuple(step_out(model, rng)) for _ in range(n))) if any_traces(model) else None
+
+
+def step_out(model: Semantics, rng: random.Random, check_every: int = 1000) -> list[str]:
+    """One random trace of a model that has traces."""
     start = model.initial()
-    if start is None or 0 in explored(model).livelocks():
-        return None
     state, trace, steps = start, [], 0
     while on := model.enabled(state):
         weights = [float(model.weight(t)) for t in on]

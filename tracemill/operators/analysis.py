@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .distance import encoded, normalised, pairs
 from .log import joined, p
+from .sampling import ranked
 
 
 def by_likelihood() -> list[Column]:
@@ -35,7 +36,7 @@ def mode(slang: DataFrame) -> DataFrame:
 
 
 def coverage(slang: DataFrame, q: float) -> DataFrame:
-    """The likeliest traces until their probabilities add up to q.
+    """The likeliest traces until their probabilities add up to q; of equally likely ones those first by :func:`ranked`.
 
     Counts of equal size are summed first: the running sum goes over the distinct counts, of which there are at most
     about the square root of twice the number of cases, and ranks are needed only among the variants of the last count.
@@ -46,7 +47,7 @@ def coverage(slang: DataFrame, q: float) -> DataFrame:
     full = (F.col("before") + F.col("cnt") * F.col("k") <= q * F.col("n")).alias("full")
     need = before.select("cnt", full, F.ceil((q * F.col("n") - F.col("before")) / F.col("cnt")).alias("need"))
     rows = slang.join(F.broadcast(need), "cnt")
-    part = rows.where("not full").withColumn("_at", F.row_number().over(W.partitionBy("cnt").orderBy(joined()))).where("_at <= need")
+    part = ranked(rows.where("not full"), "cnt", joined()).where("rank < need")
     return rows.where("full").select(*slang.columns).unionByName(part.select(*slang.columns))
 
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .distance import encoded, normalised, pairs
-from .sampling import picked
+
+#: Kinds of cases, of one variant and value, whose counts go to the driver, and bytes of draws that are broadcast at once.
+MOST_KINDS, DRAWS_BYTES = 1_000_000, 64 << 20
 
 
 def numeric(log: DataFrame, attribute: str) -> DataFrame:
@@ -27,26 +33,80 @@ def numeric(log: DataFrame, attribute: str) -> DataFrame:
     return sums.join(F.broadcast(total)).select(F.when(low > 0, top / low).alias("association"))
 
 
-def all_numeric(log: DataFrame, attributes: list[str]) -> DataFrame:
-    """(attribute, association) for each of them."""
+NUMERIC = ("double", "long", "integer", "float", "short", "byte", "decimal", "timestamp", "timestamp_ntz", "date")
+CATEGORICAL = ("string", "boolean")
+
+
+def as_number(log: DataFrame, attribute: str) -> DataFrame:
+    """The attribute as a double: a time as its microseconds."""
+    kind = log.schema[attribute].dataType.typeName()
+    return log.withColumn(attribute, F.unix_micros(F.col(attribute).cast("timestamp")).cast("double")) if kind in ("timestamp", "timestamp_ntz", "date") else log
+
+
+def all_attributes(log: DataFrame, without: tuple[str, ...] = ("case_id", "trace")) -> DataFrame:
+    """(attribute, association) of every attribute: numbers and times by :func:`numeric`, texts and booleans by
+    :func:`categorical`; others have none."""
     out = None
-    for a in attributes:
-        one = numeric(log, a).select(F.lit(a).alias("attribute"), "association")
+    for field in log.schema:
+        kind = field.dataType.typeName()
+        if field.name in without or kind not in NUMERIC + CATEGORICAL:
+            continue
+        one = numeric(as_number(log, field.name), field.name) if kind in NUMERIC else categorical(log, field.name)
+        one = one.select(F.lit(field.name).alias("attribute"), "association")
         out = one if out is None else out.unionByName(one)
-    return out
+    return out if out is not None else log.sparkSession.createDataFrame([], "attribute string, association double")
 
 
-def categorical(log: DataFrame, attribute: str, samples: int = 500, size: int | None = None, seed: int = 0) -> DataFrame:
-    """1 - correlation, over samples drawn with replacement, of the mean distance of pairs with different values with that
-    of all pairs. Draws of a sample are summed per (variant, value) before they meet."""
+def resampled(log: DataFrame, attribute: str, samples: int, size: int | None, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per sample of cases drawn with replacement: (how often each value is drawn, summed distance of all ordered pairs of
+    draws, and of those with equal values).
+
+    Cases of one variant and value are a kind; the kinds' counts go to the driver, which draws how often each is drawn.
+    Distances are computed once per pair of kinds, by a distributed join, and each task adds them up for all samples, whose
+    draws it gets by broadcasts of ``DRAWS_BYTES`` at most; more samples take further passes.
+    """
     rows = log.where(F.col(attribute).isNotNull()).groupBy("trace", F.col(attribute).cast("string").alias("value")).agg(F.count("*").alias("cnt"))
     (coded,) = encoded(rows)
-    n = size or rows.agg(F.sum("cnt")).first()[0] or 0
-    draws = log.sparkSession.range(samples * n).select((F.col("id") % samples).alias("sample"), F.rand(seed).alias("u"))
-    drawn = picked(coded.select("code", "value", "cnt"), draws, F.struct("code", "value")).groupBy("sample", "code", "value").agg(F.count("*").alias("w")).cache()
-    a, b = (drawn.select("sample", *[F.col(c).alias(f"{s}_{c}") for c in ("code", "value", "w")]) for s in "ab")
-    mass = F.col("a_w") * F.col("b_w")
-    d = mass * normalised("a_code", "b_code")
-    differ = F.col("a_value") != F.col("b_value")
-    per = a.join(b, "sample").groupBy("sample").agg((F.sum(F.when(differ, d)) / F.sum(F.when(differ, mass))).alias("x"), (F.sum(d) / F.sum(mass)).alias("y"))
-    return per.agg((1 - F.corr("x", "y")).alias("association"))
+    kinds = coded.select("code", "value", "cnt").orderBy("code", "value").limit(MOST_KINDS + 1).toPandas()
+    if len(kinds) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of cases")
+    values, value = np.unique(kinds["value"].to_numpy(dtype=str), return_inverse=True)
+    n, rng, spark = size or int(kinds["cnt"].sum()), np.random.default_rng(seed), log.sparkSession
+    if not len(kinds):
+        return np.zeros((samples, 0)), np.zeros(samples), np.zeros(samples)
+    numbered = kinds.assign(i=range(len(kinds)), code=kinds["code"] + "\n" + kinds["value"], symbols=kinds["code"], v=value)
+    table = spark.createDataFrame(numbered[["code", "symbols", "i", "v"]], "code string, symbols string, i int, v int")
+    near = pairs(table).select("a_i", "b_i", normalised("a_symbols", "b_symbols").alias("d"), (F.col("a_v") == F.col("b_v")).alias("same")).where("d > 0")
+    parts, step = [], max(1, DRAWS_BYTES // (8 * len(kinds)))
+    for first in range(0, samples, step):
+        drawn = rng.multinomial(n, kinds["cnt"] / kinds["cnt"].sum(), size=min(step, samples - first)).astype(float)
+        shared = spark.sparkContext.broadcast(np.ascontiguousarray(drawn.T))
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            w = shared.value
+            total = np.zeros((2, w.shape[1]))
+            for b in batches:
+                for at in range(0, b.num_rows, 2048):
+                    i, j, d, same = (c.to_numpy(zero_copy_only=False) for c in b.slice(at, 2048).columns)
+                    both = w[i] * w[j]
+                    total[0] += 2 * d @ both
+                    total[1] += 2 * (d * same) @ both
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(w.shape[1])), pa.array(total[0]), pa.array(total[1])], names=["k", "every", "equal"])
+
+        sums = near.mapInArrow(work, "k long, every double, equal double").groupBy("k").agg(F.sum("every").alias("every"), F.sum("equal").alias("equal")).toPandas()  # one row per sample
+        found = np.zeros((2, drawn.shape[0]))
+        found[:, sums["k"].to_numpy(dtype=int)] = sums[["every", "equal"]].to_numpy().T
+        parts.append((np.stack([drawn[:, value == v].sum(axis=1) for v in range(len(values))], axis=1), *found))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def categorical(log: DataFrame, attribute: str, samples: int = 500, size: int | None = None, seed: int = 0) -> DataFrame:
+    """1 - correlation, over samples drawn with replacement, of the mean distance of pairs with different values with that
+    of all pairs; null where one of them never varies."""
+    masses, every, equal = resampled(log, attribute, samples, size, seed)
+    all_pairs = masses.sum(axis=1) ** 2
+    differing = all_pairs - (masses**2).sum(axis=1)
+    use = differing > 0
+    x, y = (every - equal)[use] / differing[use], every[use] / all_pairs[use]
+    value = float(1 - np.corrcoef(x, y)[0, 1]) if use.sum() > 1 and x.std() > 0 and y.std() > 0 else None
+    return log.sparkSession.createDataFrame([(value,)], "association double")

@@ -10,6 +10,8 @@ from .log import activities
 #: Symbols that an activity is encoded as, from here on.
 FIRST_SYMBOL = 0x21
 MOST_ACTIVITIES = 50_000
+#: Rows of a block of a pairwise join, and the fewest blocks.
+BLOCK_ROWS, LEAST_BLOCKS = 2_000, 16
 
 
 def encoded(language: DataFrame, *others: DataFrame) -> list[DataFrame]:
@@ -33,14 +35,16 @@ def normalised(a: str | Column, b: str | Column) -> Column:
     return F.when(longest == 0, 0.0).otherwise(F.levenshtein(a, b) / longest)
 
 
-def pairs(language: DataFrame, blocks: int = 16) -> DataFrame:
+def pairs(language: DataFrame, blocks: int | None = None) -> DataFrame:
     """Each unordered pair of rows (with ``code``) once, as a_* and b_* columns: rows are dealt to blocks by hash, and each
-    pair of blocks is one key of an ordinary join, so that work spreads over ``blocks * (blocks + 1) / 2`` keys."""
+    pair of blocks is one key of an ordinary join, so that work spreads over ``blocks * (blocks + 1) / 2`` keys. Without a
+    number there are as many blocks as give each about ``BLOCK_ROWS`` rows."""
     return grid(language, language, blocks, same=True)
 
 
-def grid(left: DataFrame, right: DataFrame, blocks: int = 16, same: bool = False) -> DataFrame:
+def grid(left: DataFrame, right: DataFrame, blocks: int | None = None, same: bool = False) -> DataFrame:
     """Every row of one side with every row of the other, or each unordered pair of one, joined on pairs of blocks."""
+    blocks = blocks or max(LEAST_BLOCKS, -(-left.count() // BLOCK_ROWS))
     own = F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     a = left.withColumn("_own", own).withColumn("_other", every).select(*[F.col(c).alias(f"a_{c}") for c in left.columns], F.struct(F.col("_own").alias("x"), F.col("_other").alias("y")).alias("_cell"))

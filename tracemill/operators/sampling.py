@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .log import joined
 
 
-def ranked(rows: DataFrame, group: str, key: Column, buckets: int = 1024) -> DataFrame:
+#: Hexadecimal digits of a key's MD5 that name its bucket: 4,096 of them.
+BUCKET_DIGITS = 3
+
+
+def bucket(key: Column) -> Column:
+    return F.substring(F.md5(key), 1, BUCKET_DIGITS)
+
+
+def ranked(rows: DataFrame, group: str, key: Column) -> DataFrame:
     """Adds ``rank``, from 0 within each group, in the order of hash buckets and of the key within one: no group is ever
-    sorted in one task. The offsets are a running sum over the buckets of a group."""
-    own = rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    sorted in one task. The offsets are a running sum over the buckets of a group. Any SQL engine can repeat the order."""
+    own = rows.withColumn("_b", bucket(key))
     sizes = own.groupBy(group, "_b").agg(F.count("*").alias("_k"))
     base = sizes.select(group, "_b", (F.sum("_k").over(W.partitionBy(group).orderBy("_b")) - F.col("_k")).alias("_base"))
     at = F.row_number().over(W.partitionBy(group, "_b").orderBy(key)) - 1
@@ -34,9 +42,14 @@ def picked(rows: DataFrame, draws: DataFrame, key: Column) -> DataFrame:
     return level.join(ranked(rows, "cnt", key), ["cnt", "rank"]).drop("rank")
 
 
-def sample_traces(slang: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """k traces with replacement, each as likely as its probability: (trace, cnt, n)."""
-    draws = slang.sparkSession.range(k).select(F.rand(seed).alias("u"))
+def arithmetic_draws(spark: SparkSession, k: int, b: int = 11, a: int = 1103515245, m: int = 2147483647) -> DataFrame:
+    """k numbers u from 0 below 1 by arithmetic, which any SQL engine can repeat: multiples of a, from b on, modulo m."""
+    return spark.range(k).select(((F.col("id") * a + b) % m / F.lit(float(m))).alias("u"))
+
+
+def sample_traces(slang: DataFrame, k: int, seed: int = 0, draws: DataFrame | None = None) -> DataFrame:
+    """k traces with replacement, each as likely as its probability: (trace, cnt, n). ``draws(u)`` replaces random ones."""
+    draws = slang.sparkSession.range(k).select(F.rand(seed).alias("u")) if draws is None else draws
     found = picked(slang.select("trace", "cnt"), draws, joined())
     return found.groupBy("trace").agg(F.count("*").alias("cnt")).withColumn("n", F.lit(k).cast("long"))
 

@@ -164,7 +164,7 @@ def mode(spark, d):
     return analysis.mode(session_slang(spark, d)).select(as_text(), "cnt")
 
 
-@query("SELECT trace, cnt FROM (SELECT trace, cnt, n, coalesce(sum(cnt) OVER (ORDER BY cnt DESC, trace ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM slang) WHERE before < 0.8 * n")
+@query("SELECT trace, cnt FROM (SELECT trace, cnt, n, coalesce(sum(cnt) OVER (ORDER BY cnt DESC, substr(md5(trace), 1, 3), trace ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM slang) WHERE before < 0.8 * n")
 def coverage(spark, d):
     return analysis.coverage(session_slang(spark, d), 0.8).select(as_text(), "cnt")
 
@@ -197,7 +197,7 @@ def medoid_non_stochastic(spark, d):
     return analysis.medoid(session_slang(spark, d), 3, weighted=False).select(as_text())
 
 
-@query("SELECT x.trace AS a, y.trace AS b, levenshtein(x.code, y.code) AS distance, round(levenshtein(x.code, y.code) / greatest(length(x.code), length(y.code)), 6) AS normalised FROM (SELECT * FROM code WHERE cnt >= 5) x JOIN (SELECT * FROM code WHERE cnt >= 5) y ON x.code < y.code")
+@query("SELECT x.trace AS a, y.trace AS b, levenshtein(x.code, y.code) AS distance, round(levenshtein(x.code, y.code) / greatest(length(x.code), length(y.code)), 6) AS normalised FROM code x JOIN code y ON x.code < y.code")
 def distance_matrix(spark, d):
     (coded,) = distance.encoded(session_slang(spark, d))
     coded = coded.withColumn("trace", log.joined())
@@ -333,6 +333,12 @@ def sample_folds(spark, d):
     return sampling.folds_arithmetic(own, 5, 2, "case_id").select("case_id", as_text())
 
 
-@query(None)
+def sampled(table: str, k: int, b: int) -> str:
+    """SQL of a sample of k traces by arithmetic draws from b on: (trace, cnt, n)."""
+    return f"""(SELECT trace, count(*) AS cnt, {k} AS n FROM (SELECT trace, cnt, sum(cnt) OVER (ORDER BY cnt, substr(md5(trace), 1, 3), trace ROWS UNBOUNDED PRECEDING) AS upto FROM {table}) v
+  JOIN (SELECT floor((i * 1103515245 + {b}) % 2147483647 / 2147483647.0::DOUBLE * (SELECT sum(cnt) FROM {table})) AS at FROM (SELECT unnest(range({k})) AS i)) u ON at >= upto - cnt AND at < upto GROUP BY trace)"""
+
+
+@query(f"SELECT trace, cnt FROM {sampled('slang', 500, 11)}")
 def sample_traces(spark, d):
-    return sampling.sample_traces(session_slang(spark, d), 500, seed=1).select(as_text(), "cnt")
+    return sampling.sample_traces(session_slang(spark, d), 500, draws=sampling.arithmetic_draws(spark, 500)).select(as_text(), "cnt")

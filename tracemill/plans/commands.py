@@ -83,7 +83,7 @@ add("analyse-non-stochastic timestamps-ordered", "events", "whether times never
 # --- association and tests ---
 add("association trace-attribute", "log text", "association of a numeric attribute with the traces", association.numeric)
 add("association trace-attribute-categorical", "log text", "the same of a categorical attribute", association.categorical)
-add("association all-trace-attributes", "log", "all numeric attributes", lambda x: association.all_numeric(x, [f.name for f in x.schema if f.dataType.typeName() in ("double", "long", "integer", "float", "short", "decimal") and f.name != "case_id"]))
+add("association all-trace-attributes", "log", "all attributes: numbers, times, texts and booleans", association.all_attributes)
 add("test log-categorical-attribute", "log text number", "whether cases of a value are nearer to each other", lambda x, a, k: statistics.categorical_test(x, a, int(k)))
 add("test bootstrap-test", "slang slang number", "whether two languages differ, by resampling the first", lambda a, b, k: statistics.bootstrap_test(a, b, int(k)))
 add("test permutation-test", "slang slang number", "whether two languages differ, by re-splitting their pool", lambda a, b, k: statistics.permutation_test(a, b, int(k)))

@@ -11,9 +11,9 @@ from ..models import discovery as D
 from ..models import markov
 from ..models.objects import automaton_of_language, graph_of_language, net_of_automaton
 from ..models.tree import net_of
-from ..operators import alignment, conformance, dfg, log, statistics
+from ..operators import alignment, association, conformance, dfg, log, sampling, statistics
 from ..sources.formats import from_slang
-from .catalogue import as_text, query, session_events, session_log, session_slang, two
+from .catalogue import as_text, query, sampled, session_events, session_log, session_slang, two
 
 SUBSET = ("click", "purchase", "view")
 
@@ -126,12 +126,12 @@ def markovian_abstraction_of_model(spark, d):
 
 @query(None)
 def conformance_markovian_model(spark, d):
-    net = D.occurrence(net_of(D.inductive(language(spark, d), Fraction(1, 5))), _occurrences(spark, d))
+    net = D.occurrence(net_of(D.inductive(language(spark, d), Fraction(1, 5))), occurrences(spark, d))
     model = told(spark, [(list(g), float(p), 1.0) for g, p in markov.abstraction(net, 2).items()], "trace array<string>, cnt double, n double")
     return rounded(conformance.unit_earth_movers(conformance.probed(conformance.kgrams(session_slang(spark, d), 2), model)), "value")
 
 
-def _occurrences(spark, d) -> dict[str, Fraction]:
+def occurrences(spark, d) -> dict[str, Fraction]:
     rows = session_slang(spark, d).select(F.explode("trace").alias("a"), "cnt", "n").groupBy("a").agg(F.sum("cnt").alias("c"), F.max("n").alias("n")).collect()  # one row per activity
     return {r.a: Fraction(r.c, r.n) for r in rows}
 
@@ -141,23 +141,24 @@ def conformance_emsc(spark, d):
     return rounded(statistics.earth_movers(*two(spark, d)), "value")
 
 
-@query(None)
-def conformance_emsc_sample(spark, d):
-    from ..operators.sampling import sample_traces
-
-    a, b = two(spark, d)
-    return rounded(statistics.earth_movers(sample_traces(a, 100, 1), sample_traces(b, 100, 2)), "value")
+def samples(spark, d, k: int) -> list[DataFrame]:
+    return [sampling.sample_traces(x, k, draws=sampling.arithmetic_draws(spark, k, b)) for x, b in zip(two(spark, d), (11, 12), strict=True)]
 
 
-for _name, _measure in (("uemsc", conformance.unit_earth_movers), ("hellinger", conformance.hellinger), ("chi_squared", conformance.chi_squared), ("jensen_shannon", conformance.jensen_shannon)):
-
-    def _sampled(spark, d, measure=_measure):
-        from ..operators.sampling import sample_traces
+@query(None)
+def conformance_emsc_sample(spark, d):
+    return rounded(statistics.earth_movers(*samples(spark, d, 100)), "value")
 
-        a, b = two(spark, d)
-        return rounded(measure(conformance.probed(sample_traces(a, 1000, 1), sample_traces(b, 1000, 2))), "value")
 
-    query(None, f"conformance_{_name}_sample")(_sampled)
+_DRAWN = f"(SELECT x.cnt / x.n AS pa, coalesce(y.cnt / y.n, 0) AS pb FROM {sampled('a', 1000, 11)} x LEFT JOIN {sampled('b', 1000, 12)} y USING (trace))"
+SAMPLED = {
+    "uemsc": (conformance.unit_earth_movers, f"SELECT round(1 - sum(greatest(0, pa - pb)), 6) AS value FROM {_DRAWN}"),
+    "hellinger": (conformance.hellinger, f"SELECT round(1 - sqrt(sum(pow(sqrt(pb) - sqrt(pa), 2)) / 2), 6) AS value FROM {_DRAWN}"),
+    "chi_squared": (conformance.chi_squared, f"SELECT round(1 - sum(pow(pa - pb, 2) / (pa + pb)) / 2, 6) AS value FROM {_DRAWN}"),
+    "jensen_shannon": (conformance.jensen_shannon, f"SELECT round(1 - sqrt((sum(pa * log2(pa) + pb * log2(pb) - (pa + pb) * log2(pa + pb) + pa + pb) + 1 - sum(pa) + 1 - sum(pb)) / 2), 6) AS value FROM {_DRAWN} WHERE pb > 0"),
+}
+for _name, (_measure, _sql) in SAMPLED.items():
+    query(_sql, f"conformance_{_name}_sample")(lambda s, d, f=_measure: rounded(f(conformance.probed(*samples(s, d, 1000))), "value"))
 
 
 @query(None)
@@ -185,11 +186,9 @@ def categorical_attribute_test(spark, d):
 
 @query(None)
 def association_categorical(spark, d):
-    from ..operators.association import categorical
-
     own = session_events(spark, d).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"), F.min("ts").alias("t"))
     own = own.select("case_id", F.col("e.event_type").alias("trace"), F.when(F.hour("t") < 12, "am").otherwise("pm").alias("half"))
-    return categorical(own, "half")
+    return association.categorical(own, "half")
 
 
 @query(None)
@@ -265,7 +264,7 @@ def trace_model_tree(spark, d):
 
 @query("SELECT activity, round(sum(cnt) / max(n), 6) AS weight FROM (SELECT unnest(acts) AS activity, cnt, n FROM slang) GROUP BY activity")
 def occurrence_net(spark, d):
-    net = D.occurrence(flower("click", "error", "purchase", "signup", "view"), _occurrences(spark, d))
+    net = D.occurrence(flower("click", "error", "purchase", "signup", "view"), occurrences(spark, d))
     return told(spark, [(t.label, round(float(t.weight), 6)) for t in net.transitions if t.label], "activity string, weight double")
 
 
@@ -279,16 +278,10 @@ def alignment_net(spark, d):
 
 @query("SELECT activity, 1.0 AS weight FROM (SELECT DISTINCT event_type AS activity FROM events)")
 def uniform_net(spark, d):
-    net = D.uniform(flower(*sorted(_occurrences(spark, d))))
+    net = D.uniform(flower(*sorted(occurrences(spark, d))))
     return told(spark, [(t.label, float(t.weight)) for t in net.transitions if t.label], "activity string, weight double")
 
 
-@query("SELECT activity, true AS within FROM (SELECT DISTINCT event_type AS activity FROM events)")
-def random_net(spark, d):
-    net = D.randomised(flower(*sorted(_occurrences(spark, d))), 5)
-    return told(spark, [(t.label, 0 < t.weight <= 1) for t in net.transitions if t.label], "activity string, within boolean")
-
-
 @query("SELECT src, dst, weight::BIGINT AS weight FROM dfg")
 def convert_sdfm(spark, d):
     own = session_slang(spark, d)
