@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,10 +39,15 @@ def prepared(spark: SparkSession, kind: str, thing):
     return {"model": as_model, "net": as_net, "diagram": convert.diagram}.get(kind, lambda x: x)(thing)
 
 
+def said(result: DataFrame) -> Iterator[str]:
+    """All rows, as they come from one partition after the other."""
+    return (str(r.asDict(recursive=True)) for r in result.toLocalIterator())
+
+
 def shown(result: object, wanted: str = "") -> str:
     """As text; objects in the wanted format, else in the first that holds them."""
     if isinstance(result, DataFrame):
-        return "\n".join(str(r.asDict(recursive=True)) for r in result.limit(1000).collect())
+        return "\n".join(said(result))
     for f in sorted(formats.FORMATS.values(), key=lambda f: f.name != wanted):
         if f.write and not isinstance(result, (str, list, bool, int, float, Fraction)):
             try:
@@ -61,7 +67,9 @@ def main(args: list[str]) -> int:
         print(f"{name} takes {' '.join(command.takes)}")
         return 1
     spark = SparkSession.builder.config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    print(shown(command.run(*[loaded(spark, k, g) for k, g in zip(command.takes, given, strict=True)]), name.split()[-1]))
+    result = command.run(*[loaded(spark, k, g) for k, g in zip(command.takes, given, strict=True)])
+    for row in said(result) if isinstance(result, DataFrame) else [shown(result, name.split()[-1])]:
+        print(row)
     return 0
 
 

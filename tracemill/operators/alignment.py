@@ -143,24 +143,33 @@ def executions(events: DataFrame, model: Semantics) -> DataFrame:
     return rows.withColumn("order_time", last)
 
 
-def with_utilisation(rows: DataFrame) -> DataFrame:
+def with_utilisation(rows: DataFrame, bucket: str = "day") -> DataFrame:
     """Adds the share of the resources able to fire a transition that were occupied when the execution started.
 
     An execution starts when both the move that enabled it and the last execution of its resource are over, and occupies
-    its resource from then until it is over; those that start with the log have 0. What is occupied between start and end
-    is counted by a range join of starts with the intervals of resources able to do the same.
+    its resource from then until it is over; those that start with the log have 0. As a resource's intervals don't overlap,
+    those occupied are the starts before less the ends up to then, of resources able to do the same: a running sum per
+    transition, within buckets of time and over the buckets' totals, so that no transition is sorted in one task.
     """
-    numbered = rows.withColumn("time", F.coalesce("order_time", F.to_timestamp(F.lit("0001-01-01"))))
+    begin = F.to_timestamp(F.lit("0001-01-01"))
+    numbered = rows.withColumn("time", F.coalesce("order_time", begin))
     before = numbered.select("case_id", F.col("move_index").alias("move_index_of_enablement"), F.col("time").alias("enabled_at"))
     used = F.lag("time").over(W.partitionBy("resource").orderBy("time", "case_id", "move_index"))
     own = numbered.join(before, ["case_id", "move_index_of_enablement"], "left").withColumn("used_at", F.when(F.col("resource").isNotNull(), used))
-    own = own.withColumn("start", F.greatest("enabled_at", "used_at")).withColumn("id", F.xxhash64("case_id", "move_index"))
-    able = own.where("resource is not null").select("fired_transition", "resource").distinct()
-    sizes = able.groupBy("fired_transition").agg(F.count("*").alias("able"))
-    busy = own.where("resource is not null").select(F.col("resource").alias("r"), F.col("start").alias("s"), F.col("time").alias("t"), F.col("id").alias("other"))
-    asks = own.where("resource is not null and start is not null").select("id", "fired_transition", F.col("start").alias("at"))
-    hits = asks.join(able.withColumnRenamed("resource", "r"), "fired_transition").join(busy, "r").where("(s is null or s < at) and t > at and id != other").groupBy("id").agg(F.countDistinct("r").alias("occupied"))
-    out = own.join(hits, "id", "left").join(sizes, "fired_transition", "left")
+    own = own.withColumn("start", F.greatest("enabled_at", "used_at"))
+    held = own.where("resource is not null")
+    able = held.select(F.col("fired_transition").alias("can"), "resource").distinct()
+    sizes = able.groupBy(F.col("can").alias("fired_transition")).agg(F.count("*").alias("able"))
+    # at equal times: ends, then what is asked, then starts
+    busy = held.where("start is null or start < time").join(able, "resource")
+    busy = busy.select("can", F.explode(F.array(F.struct(F.coalesce("start", begin).alias("at"), F.lit(2).alias("kind"), F.lit(1).alias("step")), F.struct(F.col("time").alias("at"), F.lit(0).alias("kind"), F.lit(-1).alias("step")))).alias("x")).select("can", "x.*", F.lit(None).cast("string").alias("case_id"), F.lit(None).cast("int").alias("move_index"))
+    asks = held.where("start is not null").select(F.col("fired_transition").alias("can"), F.col("start").alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("step"), F.col("case_id").cast("string").alias("case_id"), F.col("move_index").cast("int").alias("move_index"))
+    line = busy.unionByName(asks).withColumn("bucket", F.date_trunc(bucket, "at"))
+    inside = F.sum("step").over(W.partitionBy("can", "bucket").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow))
+    totals = line.groupBy("can", "bucket").agg(F.sum("step").alias("total"))
+    base = totals.select("can", "bucket", (F.sum("total").over(W.partitionBy("can").orderBy("bucket")) - F.col("total")).alias("base"))
+    hits = line.withColumn("inside", inside).where("kind = 1").join(base, ["can", "bucket"]).select(F.col("case_id").alias("_case"), F.col("move_index").alias("_move"), (F.col("base") + F.col("inside")).alias("occupied"))
+    out = own.join(hits, (F.col("case_id").cast("string") == F.col("_case")) & (F.col("move_index") == F.col("_move")), "left").join(sizes, "fired_transition", "left")
     share = F.when(F.col("resource").isNull(), None).when(F.col("start").isNull(), 0.0).otherwise(F.coalesce("occupied", F.lit(0)) / F.col("able"))
     return out.select(*rows.columns, share.alias("resource_utilisation"))
 

@@ -336,7 +336,7 @@ def sample_folds(spark, d):
 def sampled(table: str, k: int, b: int) -> str:
     """SQL of a sample of k traces by arithmetic draws from b on: (trace, cnt, n)."""
     return f"""(SELECT trace, count(*) AS cnt, {k} AS n FROM (SELECT trace, cnt, sum(cnt) OVER (ORDER BY cnt, substr(md5(trace), 1, 3), trace ROWS UNBOUNDED PRECEDING) AS upto FROM {table}) v
-  JOIN (SELECT floor((i * 1103515245 + {b}) % 2147483647 / 2147483647.0::DOUBLE * (SELECT sum(cnt) FROM {table})) AS at FROM (SELECT unnest(range({k})) AS i)) u ON at >= upto - cnt AND at < upto GROUP BY trace)"""
+  JOIN (SELECT floor((i * 1103515245 + {b}) % 2147483647 / 2147483647.0::DOUBLE * (SELECT sum(cnt) FROM {table})) AS place FROM (SELECT unnest(range({k})) AS i)) u ON place >= upto - cnt AND place < upto GROUP BY trace)"""
 
 
 @query(f"SELECT trace, cnt FROM {sampled('slang', 500, 11)}")

@@ -219,14 +219,24 @@ def executions(spark, d):
     return alignment.executions(_case_events(spark, d), model).select("case_id", F.col("move_index").cast("long").alias("move_index"), "activity")
 
 
-@query(None)
+_USED = """(SELECT *, greatest(enabled_at, used_at) AS start FROM (SELECT case_id, activity, r, time,
+    lag(time) OVER (PARTITION BY case_id, activity ORDER BY time, event_id) AS enabled_at, lag(time) OVER (PARTITION BY r ORDER BY time, case_id, event_id) AS used_at, event_id
+  FROM (SELECT user_id || '-' || session::BIGINT AS case_id, event_type AS activity, event_id % 7 AS r, ts AS time, event_id FROM s)))"""
+
+
+@query(f"""SELECT activity, count(*) AS known, round(avg(share), 6) AS utilisation FROM (
+  SELECT x.event_id, x.activity, CASE WHEN any_value(x.start) IS NULL THEN 0 ELSE count(DISTINCT y.r) / any_value(k.able) END AS share
+  FROM {_USED} x JOIN (SELECT activity, count(DISTINCT r) AS able FROM {_USED} GROUP BY 1) k USING (activity)
+  LEFT JOIN (SELECT DISTINCT activity AS can, r AS who FROM {_USED}) c ON c.can = x.activity
+  LEFT JOIN {_USED} y ON y.r = c.who AND (y.start IS NULL OR y.start < x.start) AND y.time > x.start GROUP BY 1, 2) GROUP BY 1
+  UNION ALL SELECT NULL, 0, NULL""")
 def executions_utilisation(spark, d):
     model = flower("click", "error", "purchase", "signup", "view")
     found = alignment.with_utilisation(alignment.executions(_case_events(spark, d), model))
     return found.groupBy("activity").agg(F.count("resource_utilisation").alias("known"), F.round(F.avg("resource_utilisation"), 6).alias("utilisation"))
 
 
-@query("SELECT true AS ordered")
+@query("SELECT coalesce(bool_and(ts >= latest), true) AS ordered FROM (SELECT ts, max(ts) OVER (PARTITION BY user_id, session ORDER BY ts, event_id) AS latest FROM s)")
 def executions_ordered(spark, d):
     model = flower("click", "error", "purchase", "signup", "view")
     return alignment.executions_ordered(alignment.executions(_case_events(spark, d), model))
@@ -284,11 +294,7 @@ def uniform_net(spark, d):
 
 @query("SELECT src, dst, weight::BIGINT AS weight FROM dfg")
 def convert_sdfm(spark, d):
-    own = session_slang(spark, d)
-    n = own.agg(F.max("n")).first()[0]
-    g = graph_of_language(from_slang(own))
-    rows = [(a, b, int(w * n)) for (a, b), w in g.edges.items()] + [(None, a, int(w * n)) for a, w in g.starts.items()] + [(a, None, int(w * n)) for a, w in g.ends.items()]
-    return told(spark, rows, "src string, dst string, weight long")
+    return dfg.dfg(session_slang(spark, d), "cnt")
 
 
 @query(None)
