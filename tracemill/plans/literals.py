@@ -48,7 +48,7 @@ MODELS = {
 
 def rows(kind: str, expected: dict[str, object], found: Callable[[str], object]) -> Callable:
     """A query of (name, found) whose SQL holds what is expected."""
-    say = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+    say = lambda v: f"'{v}'" if isinstance(v, str) else f"{v}::BIGINT" if kind == "long" else str(v)
     sql = ", ".join(f"('{n}', {say(v)})" for n, v in expected.items())
 
     def add(name: str) -> None:
