@@ -48,6 +48,8 @@ def shown(result: object, wanted: str = "") -> str:
     """As text; objects in the wanted format, else in the first that holds them."""
     if isinstance(result, DataFrame):
         return "\n".join(said(result))
+    if isinstance(result, dict) and all(isinstance(k, str) for k in result):  # what info counts
+        return "\n".join(f"{k}: {v}" for k, v in result.items())
     for f in sorted(formats.FORMATS.values(), key=lambda f: f.name != wanted):
         if f.write and not isinstance(result, (str, list, bool, int, float, Fraction)):
             try:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass
 from fractions import Fraction
@@ -66,7 +67,8 @@ LOG_FORMATS = ("xes", "xes.gz", "csv", "ocel", "pandas", "parquet")
 
 
 def text_of(path: str) -> str:
-    data = Path(path).read_bytes()
+    """The text of a file, zipped or not; of what comes in where the path is ``-``."""
+    data = sys.stdin.buffer.read() if path == "-" else Path(path).read_bytes()
     return (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).decode()
 
 
