@@ -119,6 +119,9 @@ def test_media(spark, documents, tables):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         form = media.header(len(payload)) + payload
         assert (r.media_bytes, r.media_sha256) == (len(form), hashlib.sha256(form).hexdigest())
+        crossings = sum((x >= 128) != (y >= 128) for x, y in zip(payload, payload[1:], strict=False))
+        levels = "/".join(str(sum(x // 32 == k for x in payload)) for k in range(8))
+        assert r.feature == f"sum={sum(payload)};squares={sum(x * x for x in payload)};crossings={crossings};levels={levels}"
     assert rows[5].feature == rows[6].feature != rows[7].feature
     assert media.op4_media(spark, tables(documents=documents([]))).count() == 0
 
