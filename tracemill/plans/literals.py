@@ -125,11 +125,20 @@ LOGS = {
     "nested": weighted(abcd=1, acbd=1, aed=1),
     "own repetition": weighted(a=1, aa=1, aaa=1),
     "once in twenty": weighted(ab=19, c=1),
+    "any order of two": weighted(abcd=1, acbd=1),
+    "any order, one repeats": weighted(abbcd=1, acbd=1),
 }
 rows("string", {"order and any order": "sequence(a, concurrent(b, c))", "choice": "xor(a, b)", "repetition": "loop(a, b)", "left out": "sequence(a, xor(tau, b))", "nested": "sequence(a, xor(concurrent(b, c), e), d)", "own repetition": "loop(a, tau)"}, lambda n: str(D.inductive(LOGS[n])))("inductive_miner_known_logs")
 rows("string", {"order and any order": "sequence(a, concurrent(b, c))", "choice": "xor(a, b)", "nested": "sequence(a, xor(concurrent(b, c), e), d)"}, lambda n: str(D.inductive(LOGS[n], Fraction(1, 5))))("inductive_miner_infrequent_known_logs")
 
 
+def in_parallel(n: str) -> bool:
+    return any(kind == "parallelGateway" for kind, _ in D.split_miner(LOGS[n]).nodes.values())
+
+
+rows("boolean", {"any order of two": True, "any order, one repeats": False, "choice": False, "repetition": False}, in_parallel)("split_miner_parallel")
+
+
 def split(n: str) -> str:
     """Flows with gateways by kind: X exclusive, + parallel."""
     found = D.split_miner(LOGS[n])
@@ -137,7 +146,7 @@ def split(n: str) -> str:
     return " ".join(sorted(f"{name[a]}>{name[b]}" for _, a, b, _ in found.flows))
 
 
-rows("string", {"choice": "X>a X>b X>out a>X b>X in>X", "repetition": "X>a X>b X>out a>X b>X in>X"}, split)("split_miner_known_logs")
+rows("string", {"any order of two": "+>b +>c +>d a>+ b>+ c>+ d>out in>a", "choice": "X>a X>b X>out a>X b>X in>X", "repetition": "X>a X>b X>out a>X b>X in>X"}, split)("split_miner_known_logs")
 
 
 # --- conversions and discovery with weights, on the driver's tables ---
