@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tracemill.llm import near_copies
+from tracemill.llm import near_copies, simhash
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -42,3 +42,36 @@ def test_pipeline_stage_drops_copies_beyond_three_bits(spark, sf_dir):
     rows = sorted(docs.collect(), key=lambda r: r.doc_id)
     want = {rows[i].doc_id for i in plain([r.text for r in rows])}
     assert {r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, sf_dir).collect()} == want
+
+
+def test_samples_come_in_rounds_that_leave_none_out():
+    for n in (1, 3_000, 3_000_000):
+        made = near_copies.rounds(n)
+        assert [m for r in made for _, m in r] == near_copies.samples(n) and [k for r in made for k, _ in r] == list(range(len(near_copies.samples(n))))
+        assert max(map(len, made)) <= near_copies.ROUND
+
+
+def test_texts_are_shuffled_once_to_find_representatives(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = spark.createDataFrame([(1, 2, 3, 1)], "doc_id long, th long, root long, component_id long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = simhash.representatives(docs, found)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(_row") == 1, plan
+
+
+def test_the_distance_table_discards_pairs_and_loses_none():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 64, (4, 2), dtype=np.uint64)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (400, 2, 7), dtype=np.uint64), axis=2)
+    s = np.concatenate([base[rng.integers(0, 4, 400)] ^ flips, rng.integers(0, 1 << 64, (400, 2), dtype=np.uint64)])
+    refs = np.concatenate([base, rng.integers(0, 1 << 64, (4, 2), dtype=np.uint64)])
+    table = near_copies.distances(s[:, 0], s[:, 1], refs)
+    far = np.abs(table[:, None] - table[None]).max(axis=2) > near_copies.MOST_BITS
+    differing = np.bitwise_count(s[:, None] ^ s[None]).sum(axis=2, dtype=int)
+    assert far.any() and (differing[far] > near_copies.MOST_BITS).all()
+    i, j = near_copies.proposed(np.zeros(800, np.int64), np.arange(800), s[:, 0].view(np.int64), s[:, 1].view(np.int64), np.full(800, 2), refs)
+    want = {(a, b) for a, b in zip(*np.nonzero(differing <= near_copies.MOST_BITS), strict=True) if a < b}
+    assert {(min(a, b), max(a, b)) for a, b in zip(i, j, strict=True)} == want and len(i) == len(want)

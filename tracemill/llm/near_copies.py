@@ -6,13 +6,14 @@ sets collapse first, so copies are never compared. A pair of similarity s has a
 bit with probability acos(2 s / (1 + s)) / pi, 0.152 at 0.8, which 3 bits, and five blocks for them, can't reach. So
 distinct fingerprints meet in buckets of equal samples of their bits. A sample has as many bits as keep buckets small
 however many fingerprints there are, and there are as many samples as let a pair of similarity 0.8 share none with
-probability ``MISS``. In a bucket, pairs of which more than ``MOST_BITS`` bits differ are discarded (19.4 are expected at
-0.8, with a deviation of 4.1; 64 of unlike texts). What is left joins rows to loose groups; the texts of a group meet
-once, and pairs that nothing has joined yet are decided by their whole sets. Buckets and groups over ``bucket_rows`` are
-split into chunks whose pairs go to separate tasks.
-
-Distance tables to references discard no pair here: at a limit of 38 of 128 bits a coordinate would have to differ by nearly
-five deviations.
+probability ``MISS``. Samples are taken ``ROUND`` at a time, and a round's shuffle is deleted before the next, so that disk
+holds a round whatever the number of samples. Inside a bucket each fingerprint has a row in a distance table, as in operator
+9: its Hamming distances to references. Pairs are made in the order of the first coordinate, those beyond ``MOST_BITS`` in
+any coordinate are discarded, and of the others those of which more than ``MOST_BITS`` bits differ (19.4 are expected at
+0.8, with a deviation of 4.1; 64 of unlike texts). As distances to a reference spread by 5.6 bits, a coordinate discards a
+pair only where one of it lies near the reference, so references are chosen among fingerprints too. What is left joins rows
+to loose groups; the texts of a group meet once, and pairs that nothing has joined yet are decided by their whole sets.
+Buckets and groups over ``bucket_rows`` are split into chunks whose pairs go to separate tasks.
 
 Defined results: a null, empty or blank text has the empty set, and all such texts are alike; texts of fewer words than a
 shingle are one shingle; the rest is as in :mod:`simhash`.
@@ -29,12 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, own_names, written
+from .common import map_rows, own_names, settled, written
 from .graph import components
-from .simhash import BITS, SEED, dealt, linking, representatives
+from .simhash import BITS, SAMPLE, SEED, dealt, linking, representatives, widest
 
 #: Similarity asked for, the chance to miss such a pair, most differing bits, and fingerprints that a bucket expects.
 ALIKE, MISS, MOST_BITS, EXPECTED = 0.8, 0.002, 38, 16
+#: Samples of bits whose keys are on disk at once, and references of a distance table.
+ROUND, REFERENCES = 16, 8
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,28 +100,53 @@ def sketches(docs: DataFrame, shingle_words: int, id_col: str, text_col: str) ->
     return map_rows(own_names(docs, [id_col, text_col]).withColumn("th", F.xxhash64(text_col)), work, f"`{id_col}` {kind}, fp long, th long, s0 long, s1 long")
 
 
-def buckets(each: DataFrame, n: int) -> DataFrame:
-    """(key, fp, s0, s1): every fingerprint once for each sample of its bits."""
-    masks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for k, (a, b) in enumerate(samples(n))])
+def rounds(n: int) -> list[list[tuple[int, tuple[int, int]]]]:
+    """The numbered masks for so many fingerprints, ``ROUND`` at a time."""
+    numbered = list(enumerate(samples(n)))
+    return [numbered[at : at + ROUND] for at in range(0, len(numbered), ROUND)]
+
+
+def buckets(each: DataFrame, numbered: list[tuple[int, tuple[int, int]]]) -> DataFrame:
+    """(key, fp, s0, s1): every fingerprint once for each of the samples of its bits."""
+    masks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for k, (a, b) in numbered])
     key = F.xxhash64("m.k", F.col("s0").bitwiseAND(F.col("m.a")), F.col("s1").bitwiseAND(F.col("m.b")))
     return each.select("fp", "s0", "s1", F.explode(masks).alias("m")).select(key.alias("key"), "fp", "s0", "s1")
 
 
+def distances(s0: np.ndarray, s1: np.ndarray, refs: np.ndarray) -> np.ndarray:
+    """The distance table: a row per fingerprint, a column per reference."""
+    return np.bitwise_count(s0[:, None] ^ refs[None, :, 0]).astype(np.int16) + np.bitwise_count(s1[:, None] ^ refs[None, :, 1])
+
+
+def references(each: DataFrame, n: int = REFERENCES, seed: int = 20) -> np.ndarray:
+    """References as two numbers each, from random ones and a bounded sample, chosen as operator 9 does."""
+    sample = each.select("s0", "s1").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas().to_numpy(np.int64).reshape(-1, 2).view(np.uint64)
+    drawn = np.random.default_rng(seed).integers(0, 1 << 64, (4 * n, 2), dtype=np.uint64)
+    offered = np.concatenate([drawn, sample[: 4 * n]])
+    return np.concatenate([offered[widest(distances(sample[:, 0], sample[:, 1], offered), n)], drawn])[:n]
+
+
 def near(s0: np.ndarray, s1: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
     return np.bitwise_count(s0[i] ^ s0[j]).astype(np.int16) + np.bitwise_count(s1[i] ^ s1[j]) <= MOST_BITS
 
 
-def proposed(key: np.ndarray, fp: np.ndarray, s0: np.ndarray, s1: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    a, b, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(fp))
+def proposed(key: np.ndarray, fp: np.ndarray, s0: np.ndarray, s1: np.ndarray, side: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) inside runs of equal keys, from the distance table, of which at most ``MOST_BITS`` bits differ."""
     s0, s1 = s0.view(np.uint64), s1.view(np.uint64)
+    rows = distances(s0, s1, refs)
+    order = np.lexsort((rows[:, 0], key))
+    key, s0, s1, side, rows = key[order], s0[order], s1[order], side[order], rows[order]
+    a, b, at, first = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(fp)), rows[:, 0]
     for step in itertools.count(1):
         at = at[at + step < len(fp)]
-        at = at[key[at] == key[at + step]]
+        at = at[(key[at] == key[at + step]) & (first[at + step] - first[at] <= MOST_BITS)]
         if not len(at):
             return np.concatenate(a), np.concatenate(b)
-        keep = at[((side[at] == 2) | (side[at] != side[at + step])) & near(s0, s1, at, at + step)]
-        a.append(keep)
-        b.append(keep + step)
+        keep = at[(side[at] == 2) | (side[at] != side[at + step])]
+        keep = keep[np.abs(rows[keep, 1:] - rows[keep + step, 1:]).max(axis=1, initial=0) <= MOST_BITS]
+        keep = keep[near(s0, s1, keep, keep + step)]
+        a.append(order[keep])
+        b.append(order[keep + step])
 
 
 def decided(key: np.ndarray, fp: np.ndarray, s0: np.ndarray, s1: np.ndarray, text: np.ndarray, side: np.ndarray, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,12 +170,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, id_col: str = "doc_
     """(id, fp, th, root, component_id) per row; root names the component, component_id is the smallest id of a row reachable over pairs that are alike."""
     marks = written(sketches(docs, shingle_words, id_col, text_col), "sketches")
     each = written(marks.groupBy("fp").agg(F.min(id_col).alias("least"), F.min(F.struct(F.col(id_col).alias("_id"), "th")).alias("one"), F.min("s0").alias("s0"), F.min("s1").alias("s1")), "distinct")
-    loose = components(linking(dealt(buckets(each, each.count()), bucket_rows), proposed, 1 << 16)).withColumnsRenamed({"node": "fp", "root": "key"})
-    members = written(each.select("fp", "one.*", "s0", "s1").join(loose, "fp"), "loose")
-    texts = own_names(docs, [id_col, text_col]).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
-    one = texts["id"].eqNullSafe(members["_id"]) & (texts["hash"] == members["th"])  # a row, not all its copies
-    told = written(texts.join(members, one).dropDuplicates(["fp"]).select("key", "fp", "s0", "s1", "text"), "members")
+    refs, links = references(each), None
+    for numbered in rounds(each.count()):
+        found = written(linking(dealt(buckets(each, numbered), bucket_rows), lambda **c: proposed(**c, refs=refs), 1 << 16), "links")
+        links = found if links is None else links.union(found)
+        settled(docs.sparkSession)
+    loose = components(links).withColumnsRenamed({"node": "fp", "root": "key"})
+    # rows and members meet on one column, so that a shuffle of the texts by it also serves what drops their copies
+    members = written(each.join(loose, "fp").select("key", "fp", "s0", "s1", F.struct(F.col("one._id").alias("id"), "one.th").alias("one")), "loose")
+    texts = own_names(docs, [id_col, text_col]).select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th")).alias("row"), F.col(text_col).alias("text"))
+    told = written(texts.join(members, texts["row"] == members["one"]).dropDuplicates(["one"]).select("key", "fp", "s0", "s1", "text"), "members")  # a row, not all its copies
+    settled(docs.sparkSession)
     roots = written(components(linking(dealt(told, bucket_rows), lambda **c: decided(**c, shingle_words=shingle_words), 2 * bucket_rows)), "roots")
+    settled(docs.sparkSession)
     named = each.join(roots, each.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # written, so that the joins' sides are plain shuffles, of which a hot component's or fingerprint's part can be split
     best = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "components")

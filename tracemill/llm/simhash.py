@@ -84,13 +84,18 @@ def spread_pivots(fps: DataFrame, n: int) -> np.ndarray:
     """References, the one with the widest spread of distances first, then by what a coordinate adds to those before it."""
     sample = np.array([r.fp for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     offered = np.concatenate([pivots(4 * n), sample[: 4 * n]])
-    rest, chosen = distance_table(sample, offered).astype(float), []
-    rest -= rest.mean(axis=0) if len(sample) else 0
-    while len(chosen) < n and len(sample) and (spread := (rest**2).sum(axis=0)).max() > 1e-6:
+    return np.concatenate([offered[widest(distance_table(sample, offered), n)], pivots(n)])[:n]
+
+
+def widest(table: np.ndarray, n: int) -> list[int]:
+    """The columns of a distance table, at most n, that spread most, each by what it adds to those before it."""
+    rest, chosen = table.astype(float), []
+    rest -= rest.mean(axis=0) if len(table) else 0
+    while len(chosen) < n and len(table) and (spread := (rest**2).sum(axis=0)).max() > 1e-6:
         chosen.append(int(spread.argmax()))
         own = rest[:, chosen[-1]].copy()
         rest -= np.outer(own, own @ rest / (own @ own))
-    return np.concatenate([offered[chosen], pivots(n)])[:n]
+    return chosen
 
 
 def linked(key: np.ndarray, fp: np.ndarray, side: np.ndarray, guest: np.ndarray, distance: int, refs: np.ndarray, examined: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -230,11 +235,11 @@ def one_of_each(docs: DataFrame, shingle_words: int = 5, distance: int = 3, id_c
 def representatives(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that :func:`one_of_each` keeps, given the components found."""
     kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.first("component_id").alias("component_id"), F.min("th").alias("th"))
-    kept = kept.select(F.col("component_id").alias("_id"), F.col("th").alias("_th"))
-    own, back = set_aside(docs, ["_id", "_th"])
-    marked = own.withColumn("_id", F.col(id_col)).withColumn("_th", F.xxhash64(text_col))
-    same = marked["_id"].eqNullSafe(kept["_id"]) & (marked["_th"] == kept["_th"])
-    return back(marked.join(kept, same, "left_semi").dropDuplicates(["_id", "_th"]).drop("_id", "_th")).select(*docs.columns)
+    # one column on both sides, so that the join's shuffle of the documents also serves what drops their copies
+    kept = kept.select(F.struct(F.col("component_id").alias("id"), "th").alias("_kept"))
+    own, back = set_aside(docs, ["_row", "_kept"])
+    marked = own.withColumn("_row", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th")))
+    return back(marked.join(kept, marked["_row"] == kept["_kept"], "left_semi").dropDuplicates(["_row"]).drop("_row")).select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
