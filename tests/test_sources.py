@@ -4,9 +4,11 @@ import gzip
 import time
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tracemill.plans import catalogue, files
 from tracemill.sources import logs
 from tracemill.streaming import logs as streams
 
@@ -111,3 +113,16 @@ def test_streamed_graph(spark, tmp_path):
     q.stop()
     found = {(r.src, r.dst): r.weight for r in streams.graph(spark.read.parquet(str(tmp_path / "g"))).collect()}
     assert found == {(None, "a"): 2, ("a", "b"): 1, ("b", "c"): 1, ("c", "d"): 1, ("d", "e"): 1, ("e", None): 1, ("a", None): 1}
+
+
+def test_tables_and_executions_come_in_bounded_parts(spark, sf_dir, duck, monkeypatch):
+    sizes, tables = [], []
+    through, from_pandas = files.through, files.logs.from_pandas
+    monkeypatch.setattr(files, "TABLE_ROWS", 300)
+    monkeypatch.setattr(files.logs, "from_pandas", lambda s, frame: tables.append(len(frame)) or from_pandas(s, frame))
+    found = sorted(map(tuple, files.file_pandas(spark, sf_dir).collect()))
+    assert found == sorted(duck.sql(catalogue.SQL["file_pandas"]).fetchall()) and len(tables) > 1 and max(tables) < duck.sql("SELECT count(*) FROM events").fetchall()[0][0]
+    monkeypatch.setattr(files, "through", lambda rows, name: sizes.append(len(rows)) or through(rows, name))
+    batch = pa.RecordBatch.from_pylist([{"case_id": str(i // 2), "activity": "a", "move_index": i % 2, "fired_transition": 0} for i in range(10)])
+    assert [b.num_rows for b in files.through_executions(iter([batch.slice(0, 6), batch.slice(6)]))] == [6, 4] and sizes == [6, 4]
+    assert sorted(map(tuple, files.file_exs(spark, sf_dir).collect())) == sorted(duck.sql(catalogue.SQL["file_exs"]).fetchall())
