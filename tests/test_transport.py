@@ -57,3 +57,13 @@ def test_a_log_of_more_than_5000_variants_is_held_against_its_model(spark, monke
     log = spark.createDataFrame(rows, "trace array<string>, cnt long, n long")
     monkeypatch.setattr(kernels, "moved", lambda s, d, c: (s.sum() == d.sum() == 5200) and c.shape == (len(s), len(d)) and 0.0)
     assert statistics.permutation_test_model(log, automaton_of_language(from_slang(log)), 1).first().p == 1.0
+
+
+def test_clusters_end_when_only_rounding_is_left(spark, monkeypatch):
+    rng, passes = random.Random(4), []
+    traces = {tuple(rng.choice("aabcd") for _ in range(rng.randint(1, 11))) for _ in range(1500)}
+    log = spark.createDataFrame([(list(t), 1, len(traces)) for t in sorted(traces)], "trace array<string>, cnt long, n long")
+    part = edits.Normalised.part
+    monkeypatch.setattr(edits.Normalised, "part", lambda self, i, j: passes.append(j.copy()) or part(self, i, j))
+    assert statistics.cluster(log, 3).count() == 3
+    assert len(passes) < 100 and len({tuple(sorted(p.tolist())) for p in passes}) == len(passes)  # no medoids come twice
