@@ -65,3 +65,10 @@ def test_round_trip(spark, turns):
     df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], SCHEMA)
     row = chat.read_back(chat.expand(df)).first()
     assert [(t.role, t.text) for t in row.turns] == turns and row.loss == "".join(t for r, t in turns if r == "assistant")
+
+
+def test_examples_hold_their_whole_texts(spark):
+    df = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", f"é<|{i}") for i in range(7)], SCHEMA)
+    rows = chat.expand(df).orderBy("example").collect()
+    assert [r.target for r in rows] == [True, True, True, False] and [r.text.count(chat.END) for r in rows] == [2, 4, 6, 7]
+    assert all(b.text.startswith(a.text) and a.text[a.loss_begin : a.loss_end] == f"é&lt;|{2 * k + 1}" for k, (a, b) in enumerate(zip(rows, rows[1:], strict=False)))

@@ -1,10 +1,9 @@
 """Chat formatting by prefix-target expansion, in DataFrame functions only.
 
-Every assistant turn becomes an example of its own: all turns before it are its context, and only its own text is
-trainable. An example is stored as what it adds to the one before it: the formatted turns since the last reply, the
-formatted reply, the length of the context, and where its loss begins and ends in the whole example. So a conversation
-takes as much room as its text, although the examples' own lengths add up to its square; :func:`full_examples` writes
-them out. Turns after the last reply make a closing row without a target, so that no turn is lost.
+Every assistant turn becomes an example of its own, whole: all turns before it are its context, and only its own text is
+trainable. A last row, without a target, has the whole conversation, so that turns after the last reply aren't lost. The
+examples' lengths add up to the square of a conversation, but they are made one after the other from the conversation's
+formatted text, each as a beginning of it, so a task holds one at a time unless they are kept.
 
 A turn reads ``<|im_start|>role`` line end ``text<|im_end|>`` line end. In roles and texts ``&`` becomes ``&amp;`` and
 ``<|`` becomes ``&lt;|``, and a line end in a role ``&nl;``, which :func:`unescaped` turns back.
@@ -17,7 +16,6 @@ no rows; further columns are not read.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import own_names, table
@@ -37,50 +35,48 @@ def unescaped(text: Column) -> Column:
 
 
 def expand(conversations: DataFrame) -> DataFrame:
-    """One row per example: conv_id, example, added_context, target, context_chars, loss_begin, loss_end.
+    """One row per example: conv_id, example, text (context and target), target (whether there is one), loss_begin, loss_end.
 
-    A conversation's rows are sorted and numbered by a running window, which streams; what is gathered is only the turns
-    between two replies.
+    A conversation is gathered and formatted once; each of its examples is written out from its beginning.
     """
     turns = own_names(conversations, ["conv_id", "turn", "role", "text"])
     turns = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    head = F.concat(F.lit(START), escaped(F.col("role"), header=True), F.lit("\n"))
-    in_order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    reply = F.col("role") == TRAINED
-    parts = turns.select(
-        "conv_id",
-        F.row_number().over(in_order).alias("at"),
-        F.coalesce(F.sum(reply.cast("long")).over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("example"),
-        reply.alias("reply"),
-        F.length(head).alias("head"),
-        F.concat(head, escaped(F.col("text")), F.lit(END + "\n")).alias("piece"),
-    )
-    rows = parts.groupBy("conv_id", "example").agg(
-        F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.when(~F.col("reply"), F.struct("at", "piece")))), lambda p: p["piece"])).alias("added_context"),
-        F.max(F.when(F.col("reply"), F.col("piece"))).alias("target"),
-        F.max(F.when(F.col("reply"), F.col("head"))).alias("head"),
-    )
-    before = W.partitionBy("conv_id").orderBy("example")
-    length = F.length("added_context") + F.coalesce(F.length("target"), F.lit(0))
-    context = (F.coalesce(F.sum(length).over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.length("added_context")).alias("context_chars")
-    rows = rows.select("conv_id", "example", "added_context", "target", context, "head")
-    loss_end = F.col("context_chars") + F.length("target") - len(END) - 1
-    return rows.select("conv_id", "example", "added_context", "target", "context_chars", (F.col("context_chars") + F.col("head")).alias("loss_begin"), loss_end.alias("loss_end"))
+    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    head = lambda t: F.concat(F.lit(START), escaped(t["role"], header=True), F.lit("\n"))
+    piece = lambda t: F.struct((t["role"] == TRAINED).alias("reply"), F.length(head(t)).alias("head"), F.concat(head(t), escaped(t["text"]), F.lit(END + "\n")).alias("piece"))
+    whole = whole.select("conv_id", F.transform("turns", piece).alias("p"))
+    places = turns_ending(F.col("p"))
+    whole = whole.select("conv_id", F.concat_ws("", "p.piece").alias("formatted"), places.alias("places"))
+    each = whole.select("conv_id", "formatted", F.posexplode("places").alias("example", "at"))
+    text = F.expr("left(formatted, at.end)")
+    return each.select("conv_id", F.col("example").cast("long").alias("example"), text.alias("text"), F.col("at.head").isNotNull().alias("target"), (F.col("at.begin") + F.col("at.head")).alias("loss_begin"), F.when(F.col("at.head").isNotNull(), F.col("at.end") - len(END) - 1).alias("loss_end"))
+
+
+def turns_ending(pieces: Column) -> Column:
+    """(begin, end, head) of every reply, and (null, end, null) of the whole, by one pass that sums the lengths."""
+    kind = "struct<begin: bigint, end: bigint, head: int>"
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.array().cast(f"array<{kind}>").alias("found"))
+
+    def add(seen: Column, p: Column) -> Column:
+        end = seen["upto"] + F.length(p["piece"])
+        place = F.array(F.struct(seen["upto"].alias("begin"), end.alias("end"), p["head"].alias("head")).cast(kind))
+        return F.struct(end.alias("upto"), F.when(p["reply"], F.concat(seen["found"], place)).otherwise(seen["found"]).alias("found"))
+
+    last = lambda seen: F.concat(seen["found"], F.array(F.struct(F.lit(None).alias("begin"), seen["upto"].alias("end"), F.lit(None).alias("head")).cast(kind)))
+    return F.aggregate(pieces, start, add, last)
 
 
 def full_examples(examples: DataFrame) -> DataFrame:
-    """The examples written out: conv_id, example, text (context and reply), loss_begin, loss_end; as long as they are."""
-    before = W.partitionBy("conv_id").orderBy("example").rowsBetween(W.unboundedPreceding, W.currentRow)
-    text = F.concat_ws("", F.collect_list(F.concat("added_context", F.coalesce("target", F.lit("")))).over(before))
-    return examples.where("target is not null").select("conv_id", "example", text.alias("text"), "loss_begin", "loss_end")
+    """The examples that have a target: conv_id, example, text (context and reply), loss_begin, loss_end."""
+    return examples.where("target").select("conv_id", "example", "text", "loss_begin", "loss_end")
 
 
 def read_back(examples: DataFrame) -> DataFrame:
-    """Per conversation, from the formatted text alone: turns (role, text), loss text and formatted length."""
-    loss = F.substring(F.col("target"), F.col("loss_begin") - F.col("context_chars") + 1, F.col("loss_end") - F.col("loss_begin"))
-    row = F.struct("example", F.concat("added_context", F.coalesce("target", F.lit(""))).alias("text"), F.coalesce(loss, F.lit("")).alias("loss"))
-    whole = examples.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    whole = whole.select("conv_id", F.concat_ws("", "rows.text").alias("formatted"), unescaped(F.concat_ws("", "rows.loss")).alias("loss"))
+    """Per conversation, from the examples' texts alone: turns (role, text), loss text and formatted length."""
+    loss = F.when(F.col("target"), F.substring(F.col("text"), F.col("loss_begin") + 1, F.col("loss_end") - F.col("loss_begin")))
+    rows = examples.select("conv_id", "example", loss.alias("loss"), F.when(~F.col("target"), F.col("text")).alias("formatted"))
+    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.when(F.col("loss").isNotNull(), F.struct("example", "loss")))).alias("rows"), F.max("formatted").alias("formatted"))
+    whole = whole.select("conv_id", "formatted", unescaped(F.concat_ws("", "rows.loss")).alias("loss"))
     closed = F.split("formatted", r"<\|im_end\|>\n", -1)
     split_at = lambda s: F.instr(s, "\n")
     turn = lambda s: F.struct(unescaped(s.substr(F.lit(len(START) + 1), split_at(s) - len(START) - 1)).alias("role"), unescaped(s.substr(split_at(s) + 1, F.length(s))).alias("text"))
