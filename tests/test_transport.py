@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -48,6 +49,23 @@ def test_hundreds_of_variants_are_moved_within_seconds():
     assert there == pytest.approx(back, abs=1e-9) and 0 < there < 1 and kernels.earth_movers(langs[0], langs[0]) == pytest.approx(1)
 
 
+def test_a_pivot_walks_along_its_cycle_only():
+    rng, lines = random.Random(1), itertools.count()
+    langs = [sorted({tuple(rng.choice("aaabbc") for _ in range(rng.randint(1, 9))) for _ in range(2000)}) for _ in range(2)]
+    cost = edits.Normalised.of(*kernels.coded(*langs))
+    s, d = (np.array([rng.randint(1, 30) for _ in x]) for x in langs)
+    watch, own = sys.monitoring, transport.__code__.co_filename
+    watch.use_tool_id(4, "lines")
+    try:
+        watch.register_callback(4, watch.events.LINE, lambda code, at: next(lines) * 0 if code.co_filename == own else watch.DISABLE)
+        watch.set_events(4, watch.events.LINE)
+        kernels.moved(s, d, cost)
+    finally:
+        watch.set_events(4, 0)
+        watch.free_tool_id(4)
+    assert next(lines) < 6_000_000  # 11.3 million where a pivot gives what it moves new prices
+
+
 def test_a_log_of_more_than_5000_variants_is_held_against_its_model(spark, monkeypatch):
     from tracemill.models.objects import automaton_of_language
     from tracemill.sources.formats import from_slang
