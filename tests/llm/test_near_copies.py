@@ -75,3 +75,20 @@ def test_the_distance_table_discards_pairs_and_loses_none():
     i, j = near_copies.proposed(np.zeros(800, np.int64), np.arange(800), s[:, 0].view(np.int64), s[:, 1].view(np.int64), np.full(800, 2), refs)
     want = {(a, b) for a, b in zip(*np.nonzero(differing <= near_copies.MOST_BITS), strict=True) if a < b}
     assert {(min(a, b), max(a, b)) for a, b in zip(i, j, strict=True)} == want and len(i) == len(want)
+
+
+def test_sets_are_compared_only_of_pairs_from_the_distance_table(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [f"w{rng.integers(5000)}" for _ in range(150)]
+    texts = [" ".join(words), *(edited(rng, words, n) for n in (1, 1, 2, 20)), "a b c d e f", "a b c d e f g"] * 2
+    s = np.array([near_copies.sketch(near_copies.shingles(t)) for t in texts])
+    refs = rng.integers(0, 1 << 64, (4, 2), dtype=np.uint64)
+    key, side = np.repeat([1, 2], 7), np.repeat([2, 2], 7)
+    given = key, np.arange(14), s[:, 0], s[:, 1], np.array(texts, object), side, 5, refs
+    own = near_copies.proposed
+    seen = []
+    monkeypatch.setattr(near_copies, "proposed", lambda *a: seen.append(own(*a)) or seen[-1])
+    i, j = near_copies.decided(*given)
+    assert {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == {(0, 1), (0, 2), (0, 3), (7, 8), (7, 9), (7, 10)} and len(seen) == 2
+    monkeypatch.setattr(near_copies, "distances", lambda s0, s1, refs: 200 * np.arange(len(s0) * len(refs)).reshape(len(s0), -1))
+    assert not len(near_copies.decided(*given)[0])  # a table that holds all apart leaves no pair

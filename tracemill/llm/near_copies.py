@@ -12,7 +12,8 @@ holds a round whatever the number of samples. Inside a bucket each fingerprint h
 any coordinate are discarded, and of the others those of which more than ``MOST_BITS`` bits differ (19.4 are expected at
 0.8, with a deviation of 4.1; 64 of unlike texts). As distances to a reference spread by 5.6 bits, a coordinate discards a
 pair only where one of it lies near the reference, so references are chosen among fingerprints too. What is left joins rows
-to loose groups; the texts of a group meet once, and pairs that nothing has joined yet are decided by their whole sets.
+to loose groups; the texts of a group meet once, in pairs made from the distance table again, and those that nothing has
+joined yet are decided by their whole sets.
 Buckets and groups over ``bucket_rows`` are split into chunks whose pairs go to separate tasks.
 
 Defined results: a null, empty or blank text has the empty set, and all such texts are alike; texts of fewer words than a
@@ -149,20 +150,26 @@ def proposed(key: np.ndarray, fp: np.ndarray, s0: np.ndarray, s1: np.ndarray, si
         b.append(order[keep + step])
 
 
-def decided(key: np.ndarray, fp: np.ndarray, s0: np.ndarray, s1: np.ndarray, text: np.ndarray, side: np.ndarray, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
+def decided(key: np.ndarray, fp: np.ndarray, s0: np.ndarray, s1: np.ndarray, text: np.ndarray, side: np.ndarray, shingle_words: int, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) inside runs of equal keys whose sets are alike, of those that the distance table makes; what is joined
+    already is not compared."""
     a, b = [], []
-    s0, s1 = s0.view(np.uint64), s1.view(np.uint64)
     edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
     for lo, hi in itertools.pairwise(edges):
-        sets, group = [shingles(t, shingle_words) for t in text[lo:hi]], np.arange(lo, hi)
-        for i in range(lo, hi):
-            j = np.arange(i + 1, hi)
-            j = j[(group[j - lo] != group[i - lo]) & ((side[i] == 2) | (side[i] != side[j]))]
-            for k in j[near(s0, s1, i, j)]:
-                if group[k - lo] != group[i - lo] and alike(sets[i - lo], sets[k - lo]):
-                    a.append(i)
-                    b.append(int(k))
-                    group[group == group[k - lo]] = group[i - lo]
+        i, j = proposed(key[lo:hi], fp[lo:hi], s0[lo:hi], s1[lo:hi], side[lo:hi], refs)
+        if not len(i):
+            continue
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        order = np.lexsort((j, i))
+        i, j = i[order], j[order]
+        first, group, sets = np.searchsorted(i, np.arange(hi - lo + 1)), np.arange(hi - lo), [shingles(t, shingle_words) for t in text[lo:hi]]
+        for x in range(hi - lo):
+            others = j[first[x] : first[x + 1]]
+            for y in others[group[others] != group[x]]:
+                if group[y] != group[x] and alike(sets[x], sets[y]):
+                    a.append(lo + x)
+                    b.append(lo + int(y))
+                    group[group == group[y]] = group[x]
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
@@ -181,7 +188,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, id_col: str = "doc_
     texts = own_names(docs, [id_col, text_col]).select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th")).alias("row"), F.col(text_col).alias("text"))
     told = written(texts.join(members, texts["row"] == members["one"]).dropDuplicates(["one"]).select("key", "fp", "s0", "s1", "text"), "members")  # a row, not all its copies
     settled(docs.sparkSession)
-    roots = written(components(linking(dealt(told, bucket_rows), lambda **c: decided(**c, shingle_words=shingle_words), 2 * bucket_rows)), "roots")
+    roots = written(components(linking(dealt(told, bucket_rows), lambda **c: decided(**c, shingle_words=shingle_words, refs=refs), 2 * bucket_rows)), "roots")
     settled(docs.sparkSession)
     named = each.join(roots, each.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # written, so that the joins' sides are plain shuffles, of which a hot component's or fingerprint's part can be split
