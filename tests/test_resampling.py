@@ -38,14 +38,14 @@ def test_distances_in_a_file_are_those_in_memory(monkeypatch):
     assert filed.kind == np.uint16 and filed.file is not None and pickle.loads(pickle.dumps(filed)).file is None
 
 
-@pytest.mark.parametrize("name", ["bootstrap_test"])
+@pytest.mark.parametrize("name", ["bootstrap_test", "permutation_test"])
 def test_results_are_the_same_with_distances_in_files(spark, monkeypatch, name):
     held = outcome(spark, name)
     monkeypatch.setattr(statistics, "fits", lambda *codes: False)
     assert outcome(spark, name) == held
 
 
-@pytest.mark.parametrize("name", ["bootstrap_test"])
+@pytest.mark.parametrize("name", ["bootstrap_test", "permutation_test"])
 def test_more_distances_than_can_be_sent_are_no_error(spark, monkeypatch, name):
     names, sent, replicated = [chr(97 + i) for i in range(29)], [], statistics.replicated
     log = spark.createDataFrame([(list(t), 1, 29**3) for t in itertools.product(names, repeat=3)], "trace array<string>, cnt long, n long")
