@@ -38,7 +38,7 @@ def test_distances_in_a_file_are_those_in_memory(monkeypatch):
     assert filed.kind == np.uint16 and filed.file is not None and pickle.loads(pickle.dumps(filed)).file is None
 
 
-@pytest.mark.parametrize("name", ["bootstrap_test", "permutation_test"])
+@pytest.mark.parametrize("name", ["bootstrap_test", "permutation_test", "permutation_test_model"])
 def test_results_are_the_same_with_distances_in_files(spark, monkeypatch, name):
     held = outcome(spark, name)
     monkeypatch.setattr(statistics, "fits", lambda *codes: False)
