@@ -92,3 +92,18 @@ def test_sets_are_compared_only_of_pairs_from_the_distance_table(monkeypatch):
     assert {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == {(0, 1), (0, 2), (0, 3), (7, 8), (7, 9), (7, 10)} and len(seen) == 2
     monkeypatch.setattr(near_copies, "distances", lambda s0, s1, refs: 200 * np.arange(len(s0) * len(refs)).reshape(len(s0), -1))
     assert not len(near_copies.decided(*given)[0])  # a table that holds all apart leaves no pair
+
+
+def test_unlike_texts_are_not_chained_to_one_group(spark, documents, monkeypatch):
+    rng, own, sizes = np.random.default_rng(7), near_copies.written, []
+
+    def written(df, label):
+        found = own(df, label)
+        if label == "loose":
+            sizes.extend(r["count"] for r in found.groupBy("key").count().collect())
+        return found
+
+    monkeypatch.setattr(near_copies, "written", written)
+    docs = documents([" ".join(f"w{w}" for w in rng.integers(0, 1 << 30, 6)) for _ in range(300)])
+    assert near_copies.one_of_each(docs).count() == 300
+    assert max(sizes, default=0) < 10  # by 128 bits nearly all are one group, whose texts are copied to each of its chunks
