@@ -52,3 +52,16 @@ def test_more_distances_than_can_be_sent_are_no_error(spark, monkeypatch, name):
     monkeypatch.setattr(statistics, "replicated", lambda s, k, shared, *a: sent.append(len(pickle.dumps(shared))) or replicated(s, k, shared, *a))
     assert getattr(statistics, name)(log, log).columns == ["base", "p", "rejected"]
     assert sent[0] < 5_000_000  # 595 MB of distances, an error
+
+
+def test_plans_decide_as_the_least_distances_do(spark):
+    from tracemill.models import kernels
+
+    rng = random.Random(8)
+    a, b = language(spark, rng, 40), language(spark, rng, 50)
+    codes, x, y = statistics._pool(a, b)
+    cost, values = edits.Normalised.of(codes, codes), []
+    for left in [*(np.random.default_rng([0, i]).multivariate_hypergeometric(x + y, int(x.sum()), method="marginals") for i in range(30)), x]:
+        values.append(kernels.moved(left[left > 0], (x + y - left)[x + y > left], cost.part(np.flatnonzero(left), np.flatnonzero(x + y - left))))
+    got = statistics.permutation_test(a, b, 30).first()
+    assert got.base == pytest.approx(1 - values[-1], abs=1e-12) and got.p == np.mean(np.array(values[:-1]) >= values[-1])

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tracemill.models import edits, kernels
-from tracemill.models.transport import transport
+from tracemill.models.transport import planned, transport
 from tracemill.operators import statistics
 
 
@@ -108,3 +108,18 @@ def test_cells_have_every_pair_once_each_way_without_a_join(spark, monkeypatch,
     _, every, equal = association.resampled(df, "v", 1, None, 1)
     same = np.array([[v == w for _, w in held] for _, v in held])
     assert every[0] == pytest.approx(d.sum()) and equal[0] == pytest.approx((d * same).sum())
+
+
+def test_a_search_ends_where_enough_is_known():
+    rng, short = np.random.default_rng(6), 0
+    for _ in range(60):
+        n, m = rng.integers(1, 40, 2)
+        supply, demand, cost = rng.integers(1, 5, n) * m, np.full(m, 0), rng.integers(0, 9, (n, m)) / 8
+        demand += supply.sum() // m
+        least = transport(supply, demand, cost)
+        assert planned(supply, demand, edits.Dense(cost)) >= least - 1e-9
+        for enough in (-np.inf, 0, 0.9 * least, least, 1.05 * least, 2 * least):
+            found = transport(supply, demand, cost, enough)
+            assert least - 1e-9 <= found and (found < enough or abs(found - least) < 1e-9)
+            short += found > least + 1e-9
+    assert short
